@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, near_join, quality, toxicity
+from . import decontam, near_join, packing, quality, suffix_dedup, tokens, toxicity
 from .common import documents_of
 
 
@@ -17,10 +17,22 @@ def _fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
 
 
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.round_trip(documents_of(spark, sf_dir))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.classes(documents_of(spark, sf_dir)).drop("text_key")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents_of(spark, sf_dir))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents_of(spark, sf_dir))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents_of(spark, sf_dir)
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"), usable=lambda i: _fold(i) != 2)
@@ -69,5 +81,5 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join, op7_toxicity, op9_quality, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op4_ngram_jaccard_join, op5_packing, op6_suffix_dedup, op7_toxicity, op9_quality, op10_decontamination)}
 ORACLE_SQL = {"op4_ngram_jaccard_join": OP4_SQL, "op10_decontamination": OP10_SQL}
