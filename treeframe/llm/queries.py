@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, near_join, packing, quality, suffix_dedup, tokens, toxicity
+from . import decontam, near_join, norm_topk, packing, quality, suffix_dedup, tokens, toxicity
 from .common import documents_of
 
 
@@ -21,6 +21,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(documents_of(spark, sf_dir))
 
 
+def op2_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm_topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.classes(documents_of(spark, sf_dir)).drop("text_key")
 
@@ -53,6 +57,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+OP2_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 OP4_SQL = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM w),
@@ -81,5 +93,5 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op4_ngram_jaccard_join, op5_packing, op6_suffix_dedup, op7_toxicity, op9_quality, op10_decontamination)}
-ORACLE_SQL = {"op4_ngram_jaccard_join": OP4_SQL, "op10_decontamination": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_norm_topk, op4_ngram_jaccard_join, op5_packing, op6_suffix_dedup, op7_toxicity, op9_quality, op10_decontamination)}
+ORACLE_SQL = {"op2_norm_topk": OP2_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op10_decontamination": OP10_SQL}
