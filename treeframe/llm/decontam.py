@@ -321,22 +321,30 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b" ".join(x.strip(b" ") for x in out).decode().strip(" ")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = 6 << 20, block_bytes: int = 8 << 20) -> DataFrame:
-    """docs with every hit word cut from text, block after block; other columns unchanged."""
-    out = docs
+def clean(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = 6 << 20, block_bytes: int = 8 << 20, mark: str | None = None) -> DataFrame:
+    """docs with every hit word cut from text, block after block; other columns unchanged.
+
+    With mark, a boolean column of that name says whether the row's text was cut.
+    """
+    out = docs.withColumn(mark, F.lit(False)) if mark else docs
     for tests in _blocks(benchmark, block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(tests)
-        at = docs.columns.index("text")
+        at = out.columns.index("text")
+        flag = out.columns.index(mark) if mark else None
 
-        def run(batches, sent=sent, at=at):
+        def run(batches, sent=sent, at=at, flag=flag):
             for shard in _shards(batches, shard_bytes):
-                text = _one(shard["text"])
+                text = _one(shard.column(at))
                 _, _, found = search_shard(text, sent.value)
                 if found:
                     values = text.to_pylist()
+                    cut = [False] * len(values) if flag is None else shard.column(flag).to_pylist()
                     for d, mask, _ in found:
                         values[d] = cut_words(values[d], list(zip(*_runs(mask), strict=True)))
+                        cut[d] = True
                     shard = shard.set_column(at, shard.schema.field(at), pa.array(values, text.type))
+                    if flag is not None:
+                        shard = shard.set_column(flag, shard.schema.field(flag), pa.array(cut, pa.bool_()))
                 yield from shard.to_batches()
 
         out = out.mapInArrow(run, out.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, near_join, norm_topk, packing, quality, suffix_dedup, tokens, toxicity
+from . import decontam, licenses, near_join, norm_topk, packing, pii, quality, suffix_dedup, tokens, toxicity
 from .common import documents_of
 
 
@@ -25,6 +25,11 @@ def op2_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm_topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents_of(spark, sf_dir)
+    return licenses.scan(docs, licenses.train(docs))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.classes(documents_of(spark, sf_dir)).drop("text_key")
 
@@ -43,6 +48,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, 0.3).select("doc_id", F.coalesce(_fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents_of(spark, sf_dir))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades: 0 low quality, 1 good but toxic, 2 good; kept from grade 1 up."""
     docs = documents_of(spark, sf_dir)
@@ -93,5 +102,5 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_norm_topk, op4_ngram_jaccard_join, op5_packing, op6_suffix_dedup, op7_toxicity, op9_quality, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_norm_topk, op3_license_scan, op4_ngram_jaccard_join, op5_packing, op6_suffix_dedup, op7_toxicity, op8_pii, op9_quality, op10_decontamination)}
 ORACLE_SQL = {"op2_norm_topk": OP2_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op10_decontamination": OP10_SQL}

@@ -189,3 +189,15 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> Data
 
     schema = StructType([StructField("doc_id", kind), StructField("score", DoubleType())])
     return docs.select("doc_id", "text").mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def below(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
+    """docs without the rows that score threshold or more; columns unchanged."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(score_texts(batch.column(at), sent.value) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
