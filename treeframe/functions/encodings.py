@@ -6,13 +6,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BinaryType, StringType
 
 # What an archive's names are tried as, in this order.
 NAME_CHARSETS = ("utf-8", "shift_jis", "euc_jp", "iso8859_15")
 
 
 def _decoder(charset: str, errors: str = "replace"):
-    @pandas_udf("string")
+    @pandas_udf(StringType())
     def run(raw: pd.Series) -> pd.Series:
         return raw.map(lambda b: None if b is None else bytes(b).decode(charset, errors))
 
@@ -23,7 +24,7 @@ mac_roman = _decoder("mac_roman")
 korean = _decoder("cp949")
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def to_korean(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else s.encode("cp949", "replace"))
 
@@ -38,7 +39,7 @@ def decode_name(raw: bytes) -> str:
     return raw.decode("latin-1")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def archive_name(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if b is None else decode_name(bytes(b)))
 

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DecimalType, LongType
 
 _MASK32 = 0xFFFFFFFF
 
@@ -105,13 +106,13 @@ def crc32c_bytes(data: bytes, crc: int = _MASK32) -> int:
     return crc
 
 
-@pandas_udf("long")
+@pandas_udf(LongType())
 def crc32c(data: pd.Series) -> pd.Series:
     """CRC-32C, started and ended with all ones."""
     return data.map(lambda b: None if b is None else crc32c_bytes(bytes(b)) ^ _MASK32).astype("Int64")
 
 
-@pandas_udf("decimal(20,0)")
+@pandas_udf(DecimalType(20, 0))
 def fletcher64(data: pd.Series) -> pd.Series:
     """Fletcher's checksum of 32-bit words modulo 2**32 - 1, in the form that makes block and checksum sum to zero."""
     from decimal import Decimal
@@ -197,7 +198,7 @@ def drec_hash_bytes(name: str) -> int:
 
 
 def _name_hash(f):
-    @pandas_udf("long")
+    @pandas_udf(LongType())
     def run(name: pd.Series) -> pd.Series:
         return name.map(lambda s: None if s is None else f(s)).astype("Int64")
 
