@@ -43,8 +43,10 @@ PIECE = 256
 HOT_PIECES = 256
 CHUNK_BYTES = 2 << 20
 FIRST_ID = -(1 << 63)
-#: A piece's place as one number: start, then 24 bits of a hash of the text, then windows less one.
-_START, _TEXT = 32, 8
+#: A piece's place as one number: its start, then 23 bits of a hash of the text, then whether its
+#: minimizer repeats within it, then its windows less one.
+_START, _TEXT, _OWN = 32, 9, 8
+_TEXT_MASK = (1 << (_START - _TEXT)) - 1
 
 
 class Hashed:
@@ -70,14 +72,14 @@ def _window_minimum(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: n - width + 1], h[rest : rest + n - width + 1]) if rest else h[: n - width + 1]
 
 
-def pieces(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
-    """(minimizer, text, first window, windows, bytes' hash, whether the minimizer repeats) for a slice of texts.
+def pieces(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = K, whole: bool = True) -> tuple[np.ndarray, ...]:
+    """(minimizer, whether it repeats, text, first window, windows, bytes' hash) for a slice of texts.
 
-    Window starts are relative to the slice.
+    Window starts are relative to the slice; without whole only the first two are returned.
     """
     n = len(raw)
     if n < length:
-        return tuple(np.empty(0, d) for d in (np.uint64, np.int64, np.int64, np.int64, np.uint64, bool))
+        return tuple(np.empty(0, d) for d in (np.uint64, bool, np.int64, np.int64, np.int64, np.uint64))[: 6 if whole else 2]
     hashed = Hashed(raw)
     at = np.arange(n - k + 1)
     h = hashed.of(at, at + k)
@@ -99,8 +101,9 @@ def pieces(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int =
     span = size + length - k
     inner = np.repeat(start - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())
     often = np.add.reduceat(h[inner] == np.repeat(m, span), np.concatenate([[0], np.cumsum(span)[:-1]])) > 1 if len(start) else np.empty(0, bool)
-    whole = hashed.of(start, stop + length - 1, 0x2545F4914F6CDD1D) + size.astype(np.uint64)
-    return m, text[start], start, size, whole, often
+    if not whole:
+        return m, often
+    return m, often, text[start], start, size, hashed.of(start, stop + length - 1, 0x2545F4914F6CDD1D) + size.astype(np.uint64)
 
 
 def _sliced(raw: np.ndarray, offsets: np.ndarray):
@@ -115,8 +118,22 @@ def _sliced(raw: np.ndarray, offsets: np.ndarray):
             yield a, raw[lo:hi], offsets[a : b + 1] - lo, 0
 
 
+def _minimizers(docs: DataFrame) -> DataFrame:
+    """The minimizer of each piece, and 2 if it repeats within, else 1."""
+
+    def run(batches):
+        for batch in batches:
+            raw, offsets = string_buffers(batch.column(0))
+            out = [pieces(part, off, whole=False) for _, part, off, _ in _sliced(raw, offsets)]
+            if out:
+                m, own = (np.concatenate(c) for c in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(own + np.int64(1))], ["m", "n"])
+
+    return docs.select("text").mapInArrow(run, "m long, n long")
+
+
 def _places(docs: DataFrame) -> DataFrame:
-    """A row for each piece: m, h, d (the id), at (its place) and own (the minimizer repeats within)."""
+    """A row for each piece: m, h, d (the id) and at (its place)."""
 
     def run(batches):
         for batch in batches:
@@ -124,20 +141,21 @@ def _places(docs: DataFrame) -> DataFrame:
             ids, keys = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             out = []
             for a, part, off, shift in _sliced(raw, offsets):
-                m, text, start, size, whole, often = pieces(part, off)
-                at = ((start - off[text] + shift) << _START) | (keys[a + text] << _TEXT) | (size - 1)
-                out.append((m.view(np.int64), whole.view(np.int64), ids[a + text], at, often))
+                m, own, text, start, size, whole = pieces(part, off)
+                at = ((start - off[text] + shift) << _START) | (keys[a + text] << _TEXT) | (own.astype(np.int64) << _OWN) | (size - 1)
+                out.append((m.view(np.int64), whole.view(np.int64), ids[a + text], at))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["m", "h", "d", "at", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["m", "h", "d", "at"])
 
-    return docs.select("d", "text", "k").mapInArrow(run, "m long, h long, d long, at long, own boolean")
+    return docs.select("d", "text", "k").mapInArrow(run, "m long, h long, d long, at long")
 
 
-def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Suffixes of symbols where each 0 ends a string and differs from every other 0.
+def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes, by their first ``depth`` symbols or more, where each 0 ends a string and differs from every other 0.
 
-    Seven symbols are packed for the first sort; prefixes are then doubled, and only suffixes
-    still tied are sorted again.
+    Seven symbols are packed for the first sort; prefixes are then doubled up to depth, and only
+    suffixes still tied are sorted again. Deeper order would not matter: levels below depth see
+    no boundary between suffixes tied to it, whichever way they stand.
     """
     n = len(text)
     zero = text == 0
@@ -156,7 +174,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     k = 7
     while True:
         at = np.flatnonzero(~(start & np.append(start[1:], True)))
-        if not len(at):
+        if not len(at) or k >= depth:
             return order
         pos = order[at]
         key = rank[pos] * np.int64(n + 1) + rank[np.minimum(pos + k, n - 1)]
@@ -172,7 +190,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
 def repeated_classes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffix order, class of each row): rows of a class share a prefix of at least length symbols."""
     n = len(text)
-    sa = suffix_order(text)
+    sa = suffix_order(text, length)
     zeros = int((text == 0).sum())
     extends = np.argsort(text[sa - 1], kind="stable").astype(np.int32)  # row j's suffix, without its first symbol's match, is row extends[j]
     first = text[sa]
@@ -238,7 +256,7 @@ def _by_expansion(rows: DataFrame) -> DataFrame:
 
     def settle(table):
         at = table["at"].to_numpy()
-        start, key = at >> _START, (at >> _TEXT) & 0xFFFFFF
+        start, key = at >> _START, (at >> _TEXT) & _TEXT_MASK
         ids = table["d"].to_numpy()
         owner, offset = covered_windows(table["bytes"].to_pylist(), ids, start)
         owner, first, n = _ranges(owner, offset)
@@ -267,7 +285,7 @@ def _by_expansion(rows: DataFrame) -> DataFrame:
 
 def _fetched(docs: DataFrame, wanted: DataFrame, run, schema: str) -> DataFrame:
     """run over (d, k, text, pieces) of the texts that hold wanted pieces."""
-    lists = wanted.withColumn("k", F.shiftright("at", _TEXT).bitwiseAND(F.lit(0xFFFFFF))).groupBy("d", "k").agg(F.collect_list("at").alias("at"), F.collect_list("m").alias("m"))
+    lists = wanted.withColumn("k", F.shiftright("at", _TEXT).bitwiseAND(F.lit(_TEXT_MASK))).groupBy("d", "k").agg(F.collect_list("at").alias("at"), F.collect_list("m").alias("m"))
     return docs.select("d", "k", "text").join(lists.hint("shuffle_hash"), ["d", "k"]).select("d", "text", "at", "m").mapInArrow(run, schema)
 
 
@@ -308,40 +326,47 @@ def _with_windows(batches):
                 base = int(w.min())
                 hashed = Hashed(part[base : int(w.max()) + LENGTH])
                 h = [hashed.of(w - base, w - base + LENGTH, salt) for salt in (0, 0x632BE59BD9B4E019)]
-                # The second hash is over other values, so that both must agree by chance.
-                k = np.full(len(w), (mine[0] >> _TEXT) & 0xFFFFFF)
+                k = np.full(len(w), (mine[0] >> _TEXT) & _TEXT_MASK)
                 mid = hashed.of(w - base, w - base + LENGTH // 2, 0x632BE59BD9B4E019)
                 yield pa.RecordBatch.from_arrays([pa.array(h[0].view(np.int64)), pa.array(mid.view(np.int64)), pa.array(np.full(len(w), d[r])), pa.array(k), pa.array(w)], ["h", "g", "d", "k", "first"])
 
 
-def covered(docs: DataFrame) -> DataFrame:
-    """Ranges of covered windows, (d, k, first, n), of docs (d, k, text)."""
-    places = _places(docs)
-    often = places.groupBy("m").agg(F.sum(F.when(F.col("own"), 2).otherwise(1)).alias("_n")).where("_n > 1").select("m")
-    kept = stash(places.join(often.hint("shuffle_hash"), "m"), "pieces")
-    release(docs)
-    first = kept.groupBy("m", "h").agg(F.min(F.struct("d", "at")).alias("f"), F.count("*").alias("c"), F.max("own").alias("own"))
-    first = stash(first.select("m", "h", "f.d", "f.at", "c", "own"), "first")
+def _repeated(docs: DataFrame) -> DataFrame:
+    """The pieces whose minimizer occurs more than once."""
+    often = _minimizers(docs).groupBy("m").agg(F.sum("n").alias("_n")).where("_n > 1").select("m")
+    return stash(_places(docs).join(often.hint("shuffle_hash"), "m"), "pieces")
+
+
+def _from_pieces(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Ranges of covered windows, (d, k, first, n), among the pieces kept (m, h, d, at)."""
+    first = kept.groupBy("m", "h").agg(F.min(F.struct("d", "at")).alias("f"), F.count("*").alias("c"))
+    first = stash(first.select("m", "h", "f.d", "f.at", "c"), "first")
     release(docs)
     again = first.where("c > 1").select("m", "h", F.col("d").alias("fd"), F.col("at").alias("fat"))
     place = F.shiftright("at", _START)
     copies = kept.join(again, ["m", "h"]).where((F.col("d") != F.col("fd")) | (place != F.shiftright("fat", _START)))
-    copies = copies.select("d", F.shiftright("at", _TEXT).bitwiseAND(F.lit(0xFFFFFF)).alias("k"), place.alias("first"), (F.col("at").bitwiseAND(F.lit(0xFF)) + 1).alias("n"))
+    copies = copies.select("d", F.shiftright("at", _TEXT).bitwiseAND(F.lit(_TEXT_MASK)).alias("k"), place.alias("first"), (F.col("at").bitwiseAND(F.lit(0xFF)) + 1).alias("n"))
 
-    groups = first.groupBy("m").agg(F.count("*").alias("_n"), F.max("own").alias("_own")).where("_n > 1 or _own")
+    own = F.shiftright("at", _OWN).bitwiseAND(F.lit(1))
+    groups = first.groupBy("m").agg(F.count("*").alias("_n"), F.max(own).alias("_own")).where("_n > 1 or _own > 0")
     wanted = first.select("m", "d", "at").join(groups.hint("shuffle_hash"), "m")
     expanded = _by_expansion(_fetched(docs, wanted.where(F.col("_n") <= HOT_PIECES), _with_bytes, "m long, d long, at long, bytes binary"))
     out = stash(copies.unionByName(expanded), "covered")
     release(docs)
     hot = wanted.where(F.col("_n") > HOT_PIECES)
-    if not hot.isEmpty():
-        windows = stash(_fetched(docs, hot, _with_windows, "h long, g long, d long, k long, first long"), "windows")
-        earliest = windows.groupBy("h", "g").agg(F.count("*").alias("c"), F.min("d").alias("d0")).where("c > 1")
-        repeated = windows.join(earliest, ["h", "g"])
-        start = repeated.where("d = d0").groupBy("h", "g").agg(F.min("first").alias("first0"))
-        later = repeated.join(start, ["h", "g"]).where("d <> d0 or first <> first0")
-        out = out.unionByName(later.select("d", "k", "first", F.lit(1).cast("long").alias("n")))
-    return out
+    if hot.isEmpty():
+        return out
+    windows = stash(_fetched(docs, hot, _with_windows, "h long, g long, d long, k long, first long"), "windows")
+    earliest = windows.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("d", "first")).alias("f")).where("c > 1")
+    later = windows.join(earliest, ["h", "g"]).where("d <> f.d or first <> f.first")
+    return out.unionByName(later.select("d", "k", "first", F.lit(1).cast("long").alias("n")))
+
+
+def covered(docs: DataFrame) -> DataFrame:
+    """Ranges of covered windows, (d, k, first, n), of docs (d, k, text)."""
+    kept = _repeated(docs)
+    release(docs)
+    return _from_pieces(docs, kept)
 
 
 def _settled(raw: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, int]:
@@ -357,7 +382,7 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Each row of docs as (doc_id, n_bytes, n_removed, n_spans, kept_sha256), and the kept bytes if asked for."""
     kind = docs.schema["doc_id"].dataType
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID).cast("long")).alias("d"), F.pmod(F.xxhash64("text"), F.lit(1 << 24)).cast("long").alias("k"))
+    docs = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID).cast("long")).alias("d"), F.pmod(F.xxhash64("text"), F.lit(_TEXT_MASK + 1)).cast("long").alias("k"))
     lists = covered(docs).groupBy("d", "k").agg(F.collect_list(F.struct("first", "n")).alias("c"))
     joined = docs.join(lists.hint("shuffle_hash"), ["d", "k"], "left").select("doc_id", "text", F.col("c.first").alias("first"), F.col("c.n").alias("n"))
     fields = [T.StructField("doc_id", kind), *(T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())]
