@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 from ..functions import bits, display, encodings, hashes, paths
 from ..operators import analyze, layout, links, listing, lookups, merge, mutate
+from ..sources import detect
+from ..streaming import layers
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -462,6 +464,52 @@ def volume_stats(spark, sf):
     return mutate.volume(V.document_entries(spark, sf), 4096, 1000000000)
 
 
+# ---- detection, journals
+
+@query("SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'gzip' WHEN 1 THEN 'xz' WHEN 2 THEN 'lzma' WHEN 3 THEN 'lz4' WHEN 4 THEN 'zstd' WHEN 5 THEN 'lzo' WHEN 6 THEN 'gzip' END AS by_name, CASE event_id % 8 WHEN 6 THEN 'gzip' WHEN 0 THEN 'gzip' END AS archive FROM events")
+def codec_detect(spark, sf):
+    suffix = F.element_at(F.array(*[F.lit(x) for x in (".tar.gz", ".xz", ".lzma", ".lz4", ".zst", ".lzo", ".TGZ", ".tar")]), (F.col("event_id") % 8 + 1).cast("int"))
+    name = F.concat(F.lit("f"), F.col("event_id").cast("string"), suffix)
+    return V.table(spark, sf, "events").select("event_id", detect.codec_of_name(name).alias("by_name"), detect.archive_codec(name).alias("archive"))
+
+
+@query("SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'zip' WHEN 1 THEN 'ar' WHEN 2 THEN '7z' WHEN 3 THEN 'squashfs' WHEN 4 THEN 'tar' WHEN 5 THEN 'arc' END AS format, CASE event_id % 7 WHEN 6 THEN 'gzip' END AS codec FROM events")
+def magic_detect(spark, sf):
+    heads = ("504B0304", "213C617263683E0A", "377ABCAF271C", "68737173", "00" * 257 + "7573746172", "1A08", "1F8B")
+    head = F.unhex(F.element_at(F.array(*[F.lit(x) for x in heads]), (F.col("event_id") % 7 + 1).cast("int")))
+    return V.table(spark, sf, "events").select("event_id", detect.file_format(head).alias("format"), detect.codec_of_bytes(head).alias("codec"))
+
+
+@query("SELECT * FROM (VALUES ('disk.img:2', 'disk.img', 1, 'image'), ('disk.img', 'disk.img', NULL, 'image'), ('a:b', 'a:b', NULL, 'image'), ('a.tar+b.tar', 'a.tar+b.tar', NULL, 'layered'), ('x.tgz', 'x.tgz', NULL, 'compressed tar'), ('x.TAR', 'x.TAR', NULL, 'tar')) t(spec, path, part, kind)")
+def target_parse(spark, sf):
+    t = spark.createDataFrame([(x,) for x in ("disk.img:2", "disk.img", "a:b", "a.tar+b.tar", "x.tgz", "x.TAR")], "spec string")
+    return t.withColumn("t", detect.target(F.col("spec"))).select("spec", "t.path", F.col("t.partition").cast("int").alias("part"), detect.source_kind(F.col("spec")).alias("kind"))
+
+
+@query("""WITH j AS (SELECT event_id // 10 AS tid, event_id % 10 AS seq, user_id AS block, value AS payload, event_id % 10 = 9 AND (event_id // 10) % 700 <> 699 AS ok FROM events),
+d AS (SELECT tid, row_number() OVER (ORDER BY tid) AS n FROM j WHERE ok AND tid >= 1 GROUP BY tid), r AS (SELECT tid FROM d WHERE tid = n)
+SELECT block, arg_max(payload, tid * 10 + seq) AS payload FROM j WHERE NOT ok AND tid IN (SELECT tid FROM r) GROUP BY block""")
+def journal_replay(spark, sf):
+    i = F.col("event_id")
+    tid = F.call_function("div", i, F.lit(10))
+    j = V.table(spark, sf, "events").select(tid.alias("tid"), (i % 10).alias("seq"), F.col("user_id").alias("block"), F.col("value").alias("payload"), ((i % 10 == 9) & (tid % 700 != 699)).alias("commit"))
+    return layers.replay(j, 1)
+
+
+@query("WITH a AS (SELECT o_orderkey AS k, 'label' || (o_orderkey % 3) AS x, 'block' || (o_orderkey % 5) AS y FROM orders) SELECT k, y || ',' || x AS keys FROM a")
+def sorted_options(spark, sf):
+    k = F.col("o_orderkey")
+    m = F.create_map(F.concat(F.lit("label"), (k % 3).cast("string")), F.lit(1), F.concat(F.lit("block"), (k % 5).cast("string")), F.lit(2))
+    ordered = F.map_from_entries(F.array_sort(F.map_entries(m)))
+    return V.table(spark, sf, "orders").select(k.alias("k"), F.array_join(F.map_keys(ordered), ",").alias("keys"))
+
+
+@query("WITH " + V.PAGE_PATHS + " SELECT page_id, ltrim(path, '/') AS name, strlen(ltrim(path, '/')) <= 100 AS fits FROM pp WHERE strlen(path) < 100")
+def member_names(spark, sf):
+    name = paths.member_name(F.col("path"))
+    return V.page_paths(spark, sf).where(F.octet_length("path") < 100).select("page_id", name.alias("name"), paths.fits_header(name).alias("fits"))
+
+
 # ---- scalar functions
 
 @query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'd' WHEN 1 THEN '-' ELSE 'l' END || CASE WHEN m & 256 <> 0 THEN 'r' ELSE '-' END || CASE WHEN m & 128 <> 0 THEN 'w' ELSE '-' END || CASE WHEN m & 2048 <> 0 THEN CASE WHEN m & 64 <> 0 THEN 's' ELSE 'S' END WHEN m & 64 <> 0 THEN 'x' ELSE '-' END || CASE WHEN m & 32 <> 0 THEN 'r' ELSE '-' END || CASE WHEN m & 16 <> 0 THEN 'w' ELSE '-' END || CASE WHEN m & 1024 <> 0 THEN CASE WHEN m & 8 <> 0 THEN 's' ELSE 'S' END WHEN m & 8 <> 0 THEN 'x' ELSE '-' END || CASE WHEN m & 4 <> 0 THEN 'r' ELSE '-' END || CASE WHEN m & 2 <> 0 THEN 'w' ELSE '-' END || CASE WHEN m & 512 <> 0 THEN CASE WHEN m & 1 <> 0 THEN 't' ELSE 'T' END WHEN m & 1 <> 0 THEN 'x' ELSE '-' END AS shown FROM (SELECT event_id, (event_id * 37) % 4096 AS m FROM events)")
