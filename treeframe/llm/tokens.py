@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +43,41 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Table(dict):
+    """Numbers words as they come; new ones are noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        k = self[word] = len(self)
+        self.new.append(word)
+        return k
+
+
+# A word that is letters and then stops: the tokenizer always parts them there. Below U+0250
+# lower case is one character for one, and composition changes nothing.
+_STOPPED = re.compile("([^\\W\\d_]+)([.,!?;:]*)")
+_SIMPLE = re.compile("[\x00-\u024f]*")
+# A word of lower-case letters there is one unit, of which the byte-pair model alone makes ids.
+_UNIT = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff\u0100-\u024f]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letters that stand for bytes in a byte-level model: visible ones for themselves, the others from U+0100 up."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: 256 + k for k, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
+
+
 class Encoder:
-    """Ids of texts by a table of words; the table starts anew when it holds ``most`` words."""
+    """Ids of texts by a table of words; if it gets long, words met once since then are forgotten."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 700_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,48 +86,109 @@ class Encoder:
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.empty(1 << 16, np.int32)
-        self.at = np.zeros(self.most + 2, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words as one text; an id belongs to the word in which its characters start."""
+        self.table = _Table()
+        self.ids, self.end = np.empty(1 << 16, np.int32), 0
+        self.first, self.size, self.seen = (np.zeros(1 << 12, np.int64) for _ in range(3))
+
+    def _append(self, numbers: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        while self.end + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[self.end : self.end + len(ids)] = ids
+        while len(self.table) > len(self.first):
+            self.first, self.size, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.seen))
+        self.first[numbers] = self.end + np.cumsum(size) - size
+        self.size[numbers] = size
+        self.end += len(ids)
+
+    def _learn_whole(self, words: list[str], numbers: list[int]) -> None:
+        """Units go to the model; the other words are encoded as one text, where an id belongs to the word in which its characters start."""
+        unit = [_UNIT.fullmatch(w) is not None and w.islower() for w in words]
+        tokenize = self.tokenizer.model.tokenize
+        lists = [[t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_LETTERS))] for w, u in zip(words, unit, strict=True) if u]
+        if lists:
+            self._append(np.array([k for k, u in zip(numbers, unit, strict=True) if u]), np.fromiter(chain.from_iterable(lists), np.int32), np.array([len(x) for x in lists]))
+        words, numbers = [w for w, u in zip(words, unit, strict=True) if not u], [k for k, u in zip(numbers, unit, strict=True) if not u]
         for a in range(0, len(words), 2048):
             part = words[a : a + 2048]
             e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(e.ids, np.int32)
             start = np.cumsum([0, *(len(w) + 1 for w in part[:-1])])
             owner = np.searchsorted(start, np.array([o[0] for o in e.offsets], np.int64), "right") - 1
-            k, first = len(self.known), int(self.at[len(self.known)])
-            while first + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            self.ids[first : first + len(ids)] = ids
-            while k + len(part) + 1 >= len(self.at):
-                self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-            self.at[k + 1 : k + 1 + len(part)] = first + np.searchsorted(owner, np.arange(len(part)), "right")
-            self.known.update(zip(part, range(k, k + len(part)), strict=True))
+            self._append(np.array(numbers[a : a + 2048]), np.array(e.ids, np.int32), np.bincount(owner, minlength=len(part)))
+
+    def _learn(self) -> None:
+        """Words that are a simple word and stops get the ids of both; the others are encoded."""
+        table, new = self.table, self.table.new
+        table.new = []
+        whole, numbers, parts = [], [], []
+        for word in new:
+            m = _STOPPED.fullmatch(word)
+            if m and (m[2] or not word.islower()) and _SIMPLE.fullmatch(word):
+                parts.append((table[word], table[m[1].lower()], table[m[2]]))
+            else:
+                whole.append(word)
+                numbers.append(table[word])
+        whole += table.new
+        numbers += map(table.__getitem__, table.new)
+        table.new = []
+        empty = [k for w, k in zip(whole, numbers, strict=True) if not w]
+        if empty:
+            self._append(np.array(empty), np.empty(0, np.int32), np.array([0]))
+            numbers = [k for w, k in zip(whole, numbers, strict=True) if w]
+            whole = [w for w in whole if w]
+        if whole:
+            self._learn_whole(whole, numbers)
+        if parts:
+            p = np.array(parts)
+            pair = p[:, 1:].ravel()
+            self._append(p[:, 0], self._gather(pair)[0], self.size[p[:, 1]] + self.size[p[:, 2]])
+
+    def _gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.size[which]
+        total = np.concatenate([[0], np.cumsum(size)])
+        return self.ids[np.repeat(self.first[which] - total[:-1], size) + np.arange(total[-1])], total
+
+    def _forget(self) -> None:
+        """Keep the words met twice or more, halving their counts."""
+        n = len(self.table)
+        kept = [(w, k) for w, k in self.table.items() if self.seen[k] > 1]
+        if len(kept) > self.most // 2:
+            kept = []
+        old = np.array([k for _, k in kept], np.int64)
+        ids, _ = self._gather(old)
+        size, seen = self.size[old], self.seen[old] // 2
+        self.table, self.end = _Table(), 0
+        for w, _ in kept:
+            dict.__setitem__(self.table, w, len(self.table))
+        self.seen[:n] = 0
+        if len(old):
+            self._append(np.arange(len(old)), ids, size)
+            self.seen[: len(old)] = seen
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's start (one more entry at the end)."""
-        if len(self.known) > self.most:
-            self._clear()
-        split = [t.split() if not _ODD_SPACE.search(t) else [t] for t in texts]
-        words = [w for s in split for w in s]
-        new = set(words).difference(self.known)
-        if new:
-            self._learn(list(new))
-        which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        first = self.at[which]
-        size = self.at[which + 1] - first
-        total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(first - total[:-1], size) + np.arange(total[-1])]
+        if len(self.table) > self.most:
+            self._forget()
+        split = [[t] if _ODD_SPACE.search(t) else t.lower().split() if t.isascii() and "<|" not in t else t.split() for t in texts]
         bounds = np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)
+        which = np.fromiter(map(self.table.__getitem__, chain.from_iterable(split)), np.int64, int(bounds[-1]))
+        if self.table.new:
+            self._learn()
+        count = np.bincount(which)
+        self.seen[: len(count)] += count
+        ids, total = self._gather(which)
         return ids, total[bounds]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a worker process, which keeps its table from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def encoded(column: pa.Array, encoder: Encoder):
     """(first row, last row, ids, bounds) for slices of a string column."""
     _, offsets = string_buffers(column)
@@ -112,7 +205,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow, shard, done, encoder = to_arrow_schema(schema), TaskContext.get().partitionId(), 0, Encoder(tokenizer)
+        arrow, shard, done, encoder = to_arrow_schema(schema), TaskContext.get().partitionId(), 0, encoder_of(tokenizer)
         for batch in batches:
             for a, b, ids, bounds in encoded(batch.column(1), encoder):
                 ends = np.insert(ids, bounds[1:], end_id)
