@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import shuffle_partitions, stash
-from .tokens import Encoder, default_tokenizer, encoded
+from .tokens import default_tokenizer, encoded, encoder_of
 
 FINE = 4096
 
@@ -33,7 +33,7 @@ def token_lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType())])
 
     def run(batches):
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in batches:
             sizes = [np.diff(bounds) + 1 for _, _, _, bounds in encoded(batch.column(1), encoder)]
             if sizes:
