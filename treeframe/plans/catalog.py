@@ -6,10 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import bits, display, encodings, hashes, paths
-from ..operators import analyze, layout, links, listing, lookups, merge, mutate
+from ..operators import analyze, layout, links, listing, lookups, merge, mutate, ordering
 from ..sources import detect
 from ..streaming import layers
 from . import views as V
@@ -122,7 +121,7 @@ def ls_recursive(spark, sf):
 @query("WITH " + V.DOCUMENT_ENTRIES + " SELECT path, row_number() OVER (ORDER BY string_split(ltrim(path, '/'), '/')) AS place FROM files WHERE starts_with(path, '/src3/')")
 def path_order(spark, sf):
     rows = listing.recursive(V.document_entries(spark, sf), "/src3")
-    return rows.select("path", F.row_number().over(Window.orderBy("place")).cast("long").alias("place"))
+    return ordering.numbered(rows.select("path", F.col("place").alias("segs")), F.col("segs")).select("path", "place")
 
 
 @query("WITH " + V.DOCUMENT_ENTRIES + " SELECT path, kind, mode, uid, gid, size, mtime, nlink, CAST(0 AS BIGINT) AS dev_major, (size + 511) // 512 AS blocks FROM files WHERE path = (SELECT min(path) FROM files)")
@@ -317,7 +316,7 @@ def merge_kind_change(spark, sf):
 @query(f"WITH {V.LAYER_EVENTS}, {_KILLS} SELECT path, row_number() OVER (ORDER BY CASE kind WHEN 'Dir' THEN 0 WHEN 'Regular' THEN 1 ELSE 3 END, string_split(ltrim(path, '/'), '/')) AS place FROM live")
 def emission_order(spark, sf):
     e = merge.merge(V.layer_events(spark, sf)).withColumn("link_target", F.lit(None).cast("string"))
-    return merge.emission(e).select("path", F.row_number().over(Window.orderBy("rank", "place")).cast("long").alias("place"))
+    return ordering.numbered(merge.emission(e).select("path", "rank", F.col("place").alias("segs")), F.col("rank"), F.col("segs")).select("path", "place")
 
 
 @query("WITH " + V.DOCUMENT_ENTRIES + ", p AS (SELECT DISTINCT '/' || source AS path FROM documents UNION SELECT DISTINCT '/' || source || '/' || lang FROM documents) SELECT path FROM p")
