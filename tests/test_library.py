@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from treeframe import api
-from treeframe.functions import bits, display, hashes, paths
+from treeframe.functions import bits, display, encodings, hashes, paths
 from treeframe.operators import analyze, links, listing, lookups, merge, mutate
 from treeframe.sinks import archives as sinks
 from treeframe.sources import archives, detect, partitions
@@ -179,3 +179,15 @@ def test_replay_and_arrival(spark, tmp_path):
         spark.createDataFrame(e, layers.EVENTS).coalesce(1).write.mode("append").parquet(folder)
         layers.arriving(spark, folder, log, f"{tmp_path}/cp").awaitTermination()
     assert rows(layers.merged(spark, log).select("path", "kind")) == [("/d", "Dir"), ("/d/b", "Dir"), ("/d/b/c", "Regular")]
+
+
+def test_encodings(spark):
+    raw = spark.createDataFrame([("é".encode("mac_roman"), "한글".encode("cp949"), "日本".encode("shift_jis"), "naïve".encode(), "ab".encode("utf-16-be"))], "m binary, k binary, j binary, u binary, w binary")
+    r = raw.select(encodings.mac_roman("m"), encodings.korean("k"), encodings.archive_name("j"), encodings.archive_name("u"), encodings.ucs2_big(F.col("w")), encodings.to_korean(encodings.korean("k"))).first()
+    assert tuple(r) == ("é", "한글", "日本", "naïve", "ab", "한글".encode("cp949"))
+    data = spark.createDataFrame([("STR ", b"\x02hi!"), ("TEXT", b"some"), ("vers", b"\x07\x51"), ("STR#", b"\x00\x03"), ("snd ", b"12345")], "kind string, data binary")
+    got = [x[0] for x in data.select(lookups.resource_summary(F.col("kind"), F.col("data"))).collect()]
+    assert got == ["hi", "some", "7.5", "3 strings", "5 bytes"]
+    attributes = F.array(F.struct(F.lit("user.a").alias("name"), F.lit(b"1").alias("value")))
+    x = spark.range(1).select(mutate.set_attribute(attributes, "user.a", b"2").alias("s"), mutate.set_attribute(attributes, "user.b", b"3").alias("t"), mutate.remove_attribute(attributes, "user.a").alias("u")).first()
+    assert [bytes(i.value) for i in x.s] == [b"2"] and [i.name for i in x.t] == ["user.a", "user.b"] and x.u == []

@@ -86,3 +86,29 @@ def namespace_number(name):
 def unknown_options(options: DataFrame, known: tuple[str, ...]) -> DataFrame:
     """Keys of each row's ``options`` map that nothing takes."""
     return options.withColumn("unknown", F.array_sort(F.array_except(F.map_keys("options"), F.array(*[F.lit(k) for k in known]))))
+
+
+def chunk_at(requests: DataFrame, chunks: DataFrame, bucket: int = 1024) -> DataFrame:
+    """Each requested sector with the chunk (start, length, ...) that holds it; null if none does.
+
+    A range join made equal: a chunk is listed under every bucket of sectors that it touches, and
+    a sector looks in its own.
+    """
+    b = F.lit(bucket)
+    listed = chunks.withColumn("_b", F.explode(F.sequence(F.call_function("div", F.col("start"), b), F.call_function("div", F.col("start") + F.col("length") - 1, b))))
+    asked = requests.withColumn("_b", F.call_function("div", F.col("sector"), b))
+    hit = (asked["_b"] == listed["_b"]) & (F.col("sector") >= F.col("start")) & (F.col("sector") < F.col("start") + F.col("length"))
+    return asked.join(listed, hit, "left").drop("_b")
+
+
+def resource_summary(kind, data):
+    """A line about a resource by its type: text, string, version, or the size of a picture."""
+    from ..functions.encodings import mac_roman
+
+    n = F.octet_length(data)
+    pascal = mac_roman(F.substring(data, F.lit(2), F.conv(F.hex(F.substring(data, 1, 1)), 16, 10).cast("int")))
+    text = mac_roman(F.substring(data, 1, 48))
+    version = F.concat(F.hex(F.substring(data, 1, 1)).cast("int").cast("string"), F.lit("."), F.substring(F.hex(F.substring(data, 2, 1)), 1, 1))
+    strings = F.concat(F.conv(F.hex(F.substring(data, 1, 2)), 16, 10), F.lit(" strings"))
+    picture = F.when(kind == "ICN#", F.lit("icon and mask 32 x 32")).otherwise(F.lit("icon 32 x 32"))
+    return F.when(kind == "STR ", pascal).when(kind == "TEXT", text).when(kind == "vers", version).when(kind == "STR#", strings).when(kind.isin("ICN#", "ICON"), picture).otherwise(F.concat(n.cast("string"), F.lit(" bytes")))

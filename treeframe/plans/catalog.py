@@ -428,6 +428,12 @@ def xattr_namespaces(spark, sf):
     return V.table(spark, sf, "events").select((F.col("event_id") % 9).alias("n")).distinct().select("n", lookups.namespace(F.col("n")).alias("prefix"))
 
 
+@query("WITH c AS (SELECT o_orderkey * 64 AS start, 1 + o_custkey % 64 AS length, o_custkey AS chunk FROM orders), r AS (SELECT event_id * 37 AS sector FROM events) SELECT sector, chunk FROM r LEFT JOIN c ON sector >= start AND sector < start + length")
+def chunk_lookup(spark, sf):
+    c = V.table(spark, sf, "orders").select((F.col("o_orderkey") * 64).alias("start"), (F.col("o_custkey") % 64 + 1).alias("length"), F.col("o_custkey").alias("chunk"))
+    return lookups.chunk_at(V.table(spark, sf, "events").select((F.col("event_id") * 37).alias("sector")), c).select("sector", "chunk")
+
+
 # ---- changes
 
 @query("SELECT name, kind, major, minor, mode FROM (SELECT 'tty' || i AS name, 'Char' AS kind, 4 AS major, i AS minor, 400 AS mode FROM generate_series(0, 15) t(i) UNION ALL SELECT 'ttyS' || i, 'Char', 4, 64 + i, 432 FROM generate_series(0, 3) t(i) UNION ALL SELECT d || CASE WHEN p > 0 THEN CAST(p AS VARCHAR) ELSE '' END, 'Block', m, f + p, 432 FROM (VALUES ('hda', 3, 0), ('hdb', 3, 64), ('hdc', 22, 0), ('hdd', 22, 64), ('sda', 8, 0), ('sdb', 8, 16), ('sdc', 8, 32), ('sdd', 8, 48)) t(d, m, f), generate_series(0, 4) g(p) UNION ALL SELECT * FROM (VALUES ('console', 'Char', 5, 1, 384), ('null', 'Char', 1, 3, 438), ('zero', 'Char', 1, 5, 438), ('ptmx', 'Char', 5, 2, 438), ('tty', 'Char', 5, 0, 438), ('fuse', 'Char', 10, 229, 438), ('random', 'Char', 1, 8, 438), ('urandom', 'Char', 1, 9, 438), ('kmsg', 'Char', 1, 11, 420), ('mem', 'Char', 1, 1, 416), ('port', 'Char', 1, 4, 416)))")
