@@ -89,6 +89,21 @@ SELECT k.doc_id, coalesce(root.root, k.doc_id) AS class_id, CAST(CASE WHEN r.rep
 FROM k LEFT JOIN r ON k.k = r.k AND len(k.s) > 0 LEFT JOIN root ON r.rep = root.rep LEFT JOIN links ON r.rep = links.rep
 """
 
+# Texts in hexadecimal, cut into slices that overlap by a window, so that no offset is far into a string.
+OP6_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, h, unnest(range(0, len(h) // 2, 250)) AS base FROM d),
+q AS (SELECT doc_id, base, substr(h, 2 * base + 1, 698) AS part FROM c),
+p AS (SELECT doc_id, base, part, unnest(range(0, least(len(part) // 2, 250))) AS j FROM q),
+b AS (SELECT doc_id, base + j AS i, substr(part, 2 * j + 1, 2) AS b, CASE WHEN 2 * j + 200 <= len(part) THEN md5(substr(part, 2 * j + 1, 200)) END AS w FROM p),
+f AS (SELECT w, min([doc_id, i]) AS first FROM b WHERE w IS NOT NULL GROUP BY w HAVING count(*) > 1),
+s AS (SELECT b.doc_id, b.i, b.b, f.first < [b.doc_id, b.i] AS later FROM b LEFT JOIN f USING (w)),
+m AS (SELECT doc_id, i, b, coalesce(max(CASE WHEN later THEN i END) OVER (PARTITION BY doc_id ORDER BY i) > i - 100, false) AS gone FROM s),
+r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM m),
+a AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS kept FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)
+"""
+
 OP10_SQL = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
@@ -103,4 +118,4 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 QUERIES = {f.__name__: f for f in (op1_token_output, op2_norm_topk, op3_license_scan, op4_ngram_jaccard_join, op5_packing, op6_suffix_dedup, op7_toxicity, op8_pii, op9_quality, op10_decontamination)}
-ORACLE_SQL = {"op2_norm_topk": OP2_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op10_decontamination": OP10_SQL}
+ORACLE_SQL = {"op2_norm_topk": OP2_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op6_suffix_dedup": OP6_SQL, "op10_decontamination": OP10_SQL}
