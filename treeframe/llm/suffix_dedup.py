@@ -14,9 +14,11 @@ to LENGTH and no further; what no boundary parts then is a repeated window. Its
 by (doc_id, position), stays; the others are covered.
 
 A minimizer that more than HOT_PIECES different pieces share (a very common line in changing
-surroundings) would make a group without bound. Its windows are aggregated one by one, by two
-64-bit hashes of the whole window, which is exact in the same sense and has no hot key, since
-equal pieces were joined before.
+surroundings) would make a group without bound. Its pieces are cut again, by the minimizer of
+each window's first FRONT bytes, and the parts, most of which are equal, go through the same
+steps. Where still more than HOT_PIECES parts differ, their windows are aggregated one by one,
+by two 64-bit hashes, which is exact in the same sense and has no hot key, since equal parts
+were joined before.
 
 Defined results: null is an empty text; null ids come before all others; of texts under one
 doc_id, equal starts are not earlier than each other, so a repeated row gets the same result
@@ -41,6 +43,7 @@ LENGTH = 100
 K = 24
 PIECE = 256
 HOT_PIECES = 256
+FRONT, FRONT_K = 40, 8
 CHUNK_BYTES = 2 << 20
 FIRST_ID = -(1 << 63)
 #: A piece's place as one number: its start, then 23 bits of a hash of the text, then whether its
@@ -331,13 +334,42 @@ def _with_windows(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(h[0].view(np.int64)), pa.array(mid.view(np.int64)), pa.array(np.full(len(w), d[r])), pa.array(k), pa.array(w)], ["h", "g", "d", "k", "first"])
 
 
+def _with_parts(batches):
+    """Hot pieces cut where the minimizer of a window's first FRONT bytes changes: (m, h, d, at) as of _places."""
+    for batch in batches:
+        raw, offsets, row, at, m = _flat(batch)
+        d = batch.column(0).to_numpy()
+        for r in np.unique(row):
+            mine = row == r
+            part = raw[offsets[r] : offsets[r + 1]]
+            start, size, low, outer = at[mine] >> _START, (at[mine] & 0xFF) + 1, at[mine] & ((1 << _START) - 1), m[mine]
+            for a in range(0, len(start), 2048):
+                s, n = start[a : a + 2048], size[a : a + 2048]
+                piece = np.repeat(np.arange(len(s)), n)
+                w = np.repeat(s - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                base = int(w.min())
+                body = part[base : int(w.max()) + LENGTH]
+                hashed = Hashed(body)
+                k = np.arange(len(body) - FRONT_K + 1)
+                least = _window_minimum(hashed.of(k, k + FRONT_K, 0x3C6EF372FE94F82B), FRONT - FRONT_K + 1)[w - base]
+                new = np.ones(len(w), bool)
+                new[1:] = (least[1:] != least[:-1]) | (piece[1:] != piece[:-1])
+                cut = np.flatnonzero(new)
+                count = np.diff(np.append(cut, len(w)))
+                first, p = w[cut], piece[cut]
+                key = mix(outer[a : a + 2048][p].view(np.uint64) ^ (least[cut] * np.uint64(0x9E3779B97F4A7C15)))
+                whole = hashed.of(first - base, first - base + count + LENGTH - 1, 0x2545F4914F6CDD1D) + count.astype(np.uint64)
+                place = (first << _START) | (low[a : a + 2048][p] & ~np.int64(0xFF)) | (count - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(np.full(len(cut), d[r])), pa.array(place)], ["m", "h", "d", "at"])
+
+
 def _repeated(docs: DataFrame) -> DataFrame:
     """The pieces whose minimizer occurs more than once."""
     often = _minimizers(docs).groupBy("m").agg(F.sum("n").alias("_n")).where("_n > 1").select("m")
     return stash(_places(docs).join(often.hint("shuffle_hash"), "m"), "pieces")
 
 
-def _from_pieces(docs: DataFrame, kept: DataFrame) -> DataFrame:
+def _from_pieces(docs: DataFrame, kept: DataFrame, cut_again: bool) -> DataFrame:
     """Ranges of covered windows, (d, k, first, n), among the pieces kept (m, h, d, at)."""
     first = kept.groupBy("m", "h").agg(F.min(F.struct("d", "at")).alias("f"), F.count("*").alias("c"))
     first = stash(first.select("m", "h", "f.d", "f.at", "c"), "first")
@@ -356,6 +388,9 @@ def _from_pieces(docs: DataFrame, kept: DataFrame) -> DataFrame:
     hot = wanted.where(F.col("_n") > HOT_PIECES)
     if hot.isEmpty():
         return out
+    if cut_again:
+        parts = stash(_fetched(docs, hot, _with_parts, "m long, h long, d long, at long"), "parts")
+        return out.unionByName(_from_pieces(docs, parts, False))
     windows = stash(_fetched(docs, hot, _with_windows, "h long, g long, d long, k long, first long"), "windows")
     earliest = windows.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("d", "first")).alias("f")).where("c > 1")
     later = windows.join(earliest, ["h", "g"]).where("d <> f.d or first <> f.first")
@@ -366,7 +401,7 @@ def covered(docs: DataFrame) -> DataFrame:
     """Ranges of covered windows, (d, k, first, n), of docs (d, k, text)."""
     kept = _repeated(docs)
     release(docs)
-    return _from_pieces(docs, kept)
+    return _from_pieces(docs, kept, True)
 
 
 def _settled(raw: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, int]:
