@@ -186,3 +186,14 @@ def release(df: DataFrame) -> None:
 
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
+
+
+def hash_sample(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """About size rows by a hash of key, and never over twice as many; all, if there are no more.
+
+    A filter with a rate from a count, not a sort: no task or driver sees more than its share.
+    """
+    n = rows.count()
+    if n <= size:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(size / n * (1 << 30))).limit(2 * size)

@@ -27,6 +27,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample
+
 # Short notices by family.
 TEMPLATES = {
     "agpl": ["Licensed under the GNU Affero General Public License, version 3."],
@@ -164,8 +166,8 @@ def predict(model: LicenceModel, text: str, threshold: float = 0.5, overlap: flo
 
 
 def train(docs: DataFrame, sample: int = 400, sample_bytes: int = 1 << 14, **options) -> LicenceModel:
-    """Fit with the lines of at most ``sample`` texts, of at most ``sample_bytes`` each, as background."""
-    rows = docs.where(F.octet_length("text") <= sample_bytes).select("text", F.xxhash64("text").alias("_h")).orderBy("_h").limit(sample).collect()
+    """Fit with the lines of about ``sample`` texts, of at most ``sample_bytes`` each, as background."""
+    rows = hash_sample(docs.select("doc_id", "text").where("doc_id is not null"), "doc_id", sample).where(F.octet_length("text") <= sample_bytes).select("text").collect()
     return fit([line for r in rows for line in r["text"].split("\n")], **options)
 
 

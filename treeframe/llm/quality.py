@@ -5,7 +5,7 @@ shared by all grades and ordered thresholds theta. From it come each text's expe
 and its tail probability P(grade >= keep_from), by which ``selected`` is decided.
 
 Features are frequencies, on a log scale, of hashed words, word shapes and the gaps between
-words, and a few whole-text figures (repetition, size). Training takes at most ``sample``
+words, and a few whole-text figures (repetition, size). Training takes about ``sample``
 rated texts of at most ``sample_bytes`` each (parameters) to the driver; scoring is one pass
 over every whole text without a shuffle, with a model of fixed size.
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import Words, mix, slices, string_buffers, word_slices
+from .common import Words, hash_sample, mix, slices, string_buffers, word_slices
 
 WORDS, SHAPES, GAPS, FIGURES = 512, 512, 1024, 16
 WIDTH = WORDS + SHAPES + GAPS + FIGURES
@@ -151,11 +151,11 @@ def score_texts(column: pa.Array, model: QualityModel) -> tuple[np.ndarray, np.n
 
 
 def train(docs: DataFrame, ratings: DataFrame, grade, keep_from: int, usable=None, sample: int = 5000, sample_bytes: int = 1 << 16, **options) -> QualityModel:
-    """Fit on at most ``sample`` rows of ratings (doc_id and the grade expression), by a hash of the id."""
+    """Fit on about ``sample`` rows of ratings (doc_id and the grade expression), by a hash of the id."""
     rows = ratings.select(F.col("doc_id").alias("_id"), grade.cast("int").alias("_y")).where("_y is not null and _id is not null")
     if usable is not None:
         rows = rows.where(usable(F.col("_id")))
-    rows = rows.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    rows = hash_sample(rows.groupBy("_id").agg(F.min("_y").alias("_y")), "_id", sample)
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).where(F.octet_length("text") <= sample_bytes)
     got = texts.join(F.broadcast(rows), "_id").select("_id", "_text", "_y").toArrow().sort_by("_id")
     return fit(got["_text"].to_pylist(), got["_y"].to_pylist(), keep_from, **options)

@@ -1,7 +1,7 @@
 """Toxicity: a counterfactual-regularised linear classifier over hashed words and word prefixes.
 
-Training takes a bounded sample of labelled texts (``sample`` rows, each of ``sample_bytes``
-at most; both are parameters) to the driver, keeps the features that tell the classes apart
+Training takes a bounded sample of labelled texts (about ``sample`` rows, each of
+``sample_bytes`` at most; both are parameters) to the driver, keeps the features that tell the classes apart
 there, and fits a logistic regression with an L1 term. Labelled sentences that hold an
 identity term are copied with the term swapped for each other one of its group, and
 ``swap_weight`` times the squared change of their scores is added to the loss; a bounded
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, slices, string_buffers, word_slices
+from .common import Words, hash_sample, slices, string_buffers, word_slices
 
 BITS = 18
 PREFIXES = (4, 5, 6, 7, 8)
@@ -166,11 +166,11 @@ def score_texts(column: pa.Array, model: ToxicityModel) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", usable=None, sample: int = 6000, sample_bytes: int = 1 << 16, **options) -> ToxicityModel:
-    """Fit on at most ``sample`` labelled rows, taken in the order of a hash of the id."""
+    """Fit on about ``sample`` labelled rows, taken by a hash of the id; never over twice as many."""
     rows = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).where("_y in (0, 1) and _id is not null")
     if usable is not None:
         rows = rows.where(usable(F.col("_id")))
-    rows = rows.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    rows = hash_sample(rows.groupBy("_id").agg(F.max("_y").alias("_y")), "_id", sample)
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).where(F.octet_length("text") <= sample_bytes)
     got = texts.join(F.broadcast(rows), "_id").select("_id", "_text", "_y").toArrow().sort_by("_id")
     return fit(got["_text"].to_pylist(), got["_y"].to_pylist(), **options)
