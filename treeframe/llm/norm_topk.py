@@ -4,7 +4,7 @@ Vectors are sorted by length within their dimension and cut into buckets of at m
 ``bucket_rows``; a bucket is one row of packed matrices. Queries are taken in blocks of at most
 ``block_rows``, each block sent to the executors in one pass over all buckets (so what is sent
 is bounded, and a larger query set takes more passes, not more memory). A query first gets a
-threshold, its k-th best score among ``seed_rows`` of the longest vectors. In a bucket with
+threshold, its k-th best score among about ``seed_rows`` of the longest vectors. In a bucket with
 greatest length l it needs a cosine of at least threshold / (|q| l): above 1 the bucket is
 skipped; a high one prunes by coordinates (the two largest of the query bound what a candidate's
 may be, found by binary search in sorted columns); a low one prunes by length alone (the
@@ -154,8 +154,13 @@ def top_k(rows: DataFrame, every: int = 20, k: int = 20, bucket_rows: int = 2048
 
 
 def _longest(vectors: DataFrame, seed_rows: int) -> list[dict]:
-    """The longest vectors, ``seed_rows`` of them, by dimension."""
-    got = vectors.orderBy(F.desc("norm2"), "id").limit(seed_rows).orderBy("dim").select("id", "v", "dim").toArrow()
+    """About the longest vectors, ``seed_rows`` of them at most, by dimension.
+
+    Any vectors give a threshold that holds, so an approximate quantile will do for the cut.
+    """
+    total = vectors.count()
+    cut = vectors.agg(F.percentile_approx("norm2", F.lit(max(0.0, 1 - seed_rows / total)), F.lit(10000))).first()[0] if total else 0.0
+    got = vectors.where(F.col("norm2") >= cut).select("id", "v", "dim").limit(seed_rows).toArrow().sort_by("dim")
     out, dims = [], got["dim"].to_numpy()
     for d in np.unique(dims):
         at = np.flatnonzero(dims == d)
