@@ -66,7 +66,7 @@ def _text_features(texts: list[str]) -> list[np.ndarray]:
     for a, b, w in word_slices(pa.array(texts, pa.string())):
         row, f = _features(w)
         both = np.unique((row << BITS) | f)
-        out += np.split(both & ((1 << BITS) - 1), np.searchsorted(both >> BITS, np.arange(1, b - a)))
+        out += np.split((both & ((1 << BITS) - 1)).astype(np.int32), np.searchsorted(both >> BITS, np.arange(1, b - a)))
     return out
 
 
@@ -102,7 +102,7 @@ def fit(texts: list[str], labels: list[int], swap_weight: float = 5.0, l1: float
         return ToxicityModel(weights, float(np.log(rate / (1 - rate))))
     texts = [t or "" for t in texts]
     found = _text_features(texts)
-    row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    row = np.repeat(np.arange(len(found), dtype=np.int32), [len(f) for f in found])
     col = np.concatenate(found)
     pos = np.bincount(col[y[row] == 1], minlength=1 << BITS)
     seen = np.bincount(col, minlength=1 << BITS)
