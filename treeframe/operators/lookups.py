@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import kept
+
 # Attribute name spaces by number.
 NAMESPACES = {1: "user.", 2: "system.posix_acl_access", 3: "system.posix_acl_default", 4: "trusted.", 6: "security.", 7: "system."}
 
@@ -20,13 +22,13 @@ def chains(links: DataFrame, heads: DataFrame, rounds: int = 40) -> DataFrame:
     reached = heads.select(F.col("cluster").alias("head"), F.lit(0).cast("long").alias("place"), "cluster")
     step = 1
     for _ in range(rounds):
-        more = reached.join(known, "cluster").where("to is not null").select("head", (F.col("place") + step).alias("place"), F.col("to").alias("cluster"))
+        more = kept(reached.join(known, "cluster").where("to is not null").select("head", (F.col("place") + step).alias("place"), F.col("to").alias("cluster")))
         if more.isEmpty():
             bad = reached.join(links.select("cluster"), "cluster", "left_anti")
             return reached if bad.isEmpty() else reached.withColumn("cluster", F.raise_error(F.lit("a chain leaves the table")).cast("long"))
         reached = reached.unionByName(more)
         twice = known.select("cluster", F.col("to").alias("_mid")).join(known.select(F.col("cluster").alias("_mid"), F.col("to").alias("_far")), "_mid", "left")
-        known, step = twice.select("cluster", F.col("_far").alias("to")), step * 2
+        known, step = kept(twice.select("cluster", F.col("_far").alias("to"))), step * 2
     raise ValueError("a chain is longer than its table; it has a cycle")
 
 
