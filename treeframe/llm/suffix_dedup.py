@@ -43,8 +43,8 @@ LENGTH = 100
 K = 24
 PIECE = 256
 HOT_PIECES = 256
-FRONT, FRONT_K = 40, 8
-CHUNK_BYTES = 2 << 20
+FRONT, FRONT_K = 24, 8
+CHUNK_BYTES = 1 << 18
 FIRST_ID = -(1 << 63)
 #: A piece's place as one number: its start, then 23 bits of a hash of the text, then whether its
 #: minimizer repeats within it, then its windows less one.
