@@ -409,3 +409,25 @@ def test_op10_like_every_window(spark, docs, nothing, options):
     cleaned = decontam.clean(df.where("doc_id is not null"), bench.where("text is null or length(text) > 60"))
     left = decontam.report(cleaned, bench.where("length(text) > 60"))
     assert left.agg(F.sum("n_hit")).first()[0] == 0 and cleaned.where("doc_id = 3").first().text is None
+
+
+def test_op10_cuts_alike_by_blocks(spark):
+    """Windows of two blocks overlap in a text, or would meet only after another block's cut."""
+    rows, items = [(None, None), (None, "null id"), (90, ""), (91, None)], []
+    for k in range(8):
+        w = [f"w{k}x{i}" for i in range(15)]
+        items += [(f"a{k}", " ".join(w[:10])), (f"b{k}", " ".join(w[5:]))]
+        rows += [(k, "before " + " ".join(w) + " after"), (k, "before " + " ".join(w) + " after")]
+        side = [f"s{k}x{i}" for i in range(10)]
+        items.append((f"c{k}", " ".join(side)))
+        rows.append((10 + k, " ".join(side[:5] + w[:10] + side[5:])))
+        rows.append((None, " ".join(w[:10]) + f" {k}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    total = sum(len(t) for _, t in items)
+    got = [sorted(map(repr, decontam.clean(df, bench, block_bytes=b, mark="cut").collect())) for b in (8 << 20, total // 2 + 1)]
+    assert got[0] == got[1]
+    assert sum("text='before after'" in r and "cut=True" in r for r in got[1]) == 16
+    assert sum("s" in r and "x4 s" in r for r in got[1]) == 8
+    plain = decontam.clean(df, bench, block_bytes=total // 2 + 1)
+    assert plain.schema == df.schema and plain.count() == len(rows)

@@ -10,8 +10,9 @@ match are located by walking to a sampled suffix; covered words are merged into
 document is settled in its shard, so nothing is shuffled.
 
 The benchmark is sent to the executors in blocks of at most ``block_bytes`` of text, one pass
-for each block, and the passes are merged by document; so what is broadcast is bounded
-whatever the benchmark's size. Words are compared by 64-bit hashes.
+for each block; all passes search the given text, and their hits are written and merged by
+document before anything is cut; so what is broadcast is bounded whatever the benchmark's
+size. Words are compared by 64-bit hashes.
 
 Defined results: null has no words; an item without words has no window; repeated rows each
 get their own result; a null item_id takes part but is not listed; repeated item_ids count
@@ -21,15 +22,17 @@ are whole within a shard; only the named columns are read.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, slices, string_buffers, word_slices
+from .common import Words, shared_folder, slices, string_buffers, word_slices
 
 WINDOW = 10
 SAMPLE = 16
@@ -236,23 +239,19 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 SPANS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[TestPhrases]:
-    """The benchmark's windows, by blocks of bounded text."""
+def _parts(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
+    """The benchmark as (i, t), by blocks of bounded text."""
     b = benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
-    total, longest = b.agg(F.sum(F.octet_length("t")), F.max(F.octet_length("t"))).first()
-    if total is None:
-        return [phrases([], [])]
-    n = -(-total // block_bytes)
-    parts = [b] if n <= 1 else [b.where(F.pmod(F.xxhash64("i", "t"), F.lit(2 * n)) == k) for k in range(2 * n)]
-    out = []
-    for part in parts:
-        got = part.toArrow()
-        out.append(phrases(got["i"].to_pylist(), got["t"].to_pylist()))
-    return out
+    n = -(-(b.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes)
+    return [b] if n <= 1 else [b.where(F.pmod(F.xxhash64("i", "t"), F.lit(2 * n)) == k) for k in range(2 * n)]
+
+
+def _phrases(part: DataFrame) -> TestPhrases:
+    got = part.toArrow()
+    return phrases(got["i"].to_pylist(), got["t"].to_pylist())
 
 
-def _scan_block(docs: DataFrame, tests: TestPhrases, shard_bytes: int) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(tests)
+def _scan_block(docs: DataFrame, sent: Broadcast[TestPhrases], shard_bytes: int) -> DataFrame:
     fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("_key", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))]
 
     def run(batches):
@@ -284,20 +283,34 @@ def merged_spans(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), start, step)
 
 
+def _all_spans(docs: DataFrame, parts: list[DataFrame], shard_bytes: int) -> DataFrame:
+    """(_d, _k, _spans, _items) of the texts that any block hits, each block searched in the text as it is.
+
+    A block's hits are written to the shared folder before the next block's windows are built.
+    """
+    spark = docs.sparkSession
+    path = f"{shared_folder(spark)}/treeframe-{uuid.uuid4().hex}/hits"
+    for part in parts:
+        sent = spark.sparkContext.broadcast(_phrases(part))
+        hits = _scan_block(docs, sent, shard_bytes).where("size(spans) > 0").drop("n_words")
+        hits.write.mode("append").parquet(path)
+        sent.destroy()
+    # One row for each distinct (id, text) and block; each gives the same spans for repeated rows.
+    hits = spark.read.schema(hits.schema).parquet(path)
+    merged = hits.groupBy("doc_id", "_key").agg(F.flatten(F.collect_set("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("i"))
+    return merged.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), merged_spans(F.col("s")).alias("_spans"), F.col("i").alias("_items"))
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = 6 << 20, block_bytes: int = 8 << 20) -> DataFrame:
     """Each row of docs as (doc_id, n_words, spans, items): spans are ranges of word numbers."""
-    passes = [_scan_block(docs, tests, shard_bytes) for tests in _blocks(benchmark, block_bytes)]
-    if len(passes) == 1:
-        return passes[0].drop("_key")
-    # One row for each distinct (id, text) and block; each gives the same spans for repeated rows.
-    hits = passes[0]
-    for more in passes[1:]:
-        hits = hits.unionByName(more)
-    merged = hits.where("size(spans) > 0").groupBy("doc_id", "_key").agg(F.flatten(F.collect_set("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("i"))
-    every = passes[0].select("doc_id", "_key", "n_words")
-    merged = merged.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), merged_spans(F.col("s")).alias("spans"), F.col("i").alias("items"))
+    parts = _parts(benchmark, block_bytes)
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    if len(parts) == 1:
+        return _scan_block(docs, broadcast(_phrases(parts[0])), shard_bytes).drop("_key")
+    merged = _all_spans(docs, parts, shard_bytes)
+    every = _scan_block(docs, broadcast(phrases([], [])), shard_bytes).select("doc_id", "_key", "n_words")
     out = every.join(merged, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_key").eqNullSafe(F.col("_k")), "left")
-    return out.select("doc_id", "n_words", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return out.select("doc_id", "n_words", F.coalesce("_spans", F.array().cast(SPANS)).alias("spans"), F.coalesce("_items", F.array().cast("array<string>")).alias("items"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -322,30 +335,40 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = 6 << 20, block_bytes: int = 8 << 20, mark: str | None = None) -> DataFrame:
-    """docs with every hit word cut from text, block after block; other columns unchanged.
+    """docs with every word that is hit in the given text cut from it, at once; other columns unchanged.
 
     With mark, a boolean column of that name says whether the row's text was cut.
     """
+    parts = _parts(benchmark, block_bytes)
     out = docs.withColumn(mark, F.lit(False)) if mark else docs
-    for tests in _blocks(benchmark, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(tests)
-        at = out.columns.index("text")
-        flag = out.columns.index(mark) if mark else None
-
-        def run(batches, sent=sent, at=at, flag=flag):
+    schema, at = out.schema, out.columns.index("text")
+    flag = out.columns.index(mark) if mark else None
+
+    def cut(shard, spans):
+        """The shard with spans, by row, cut."""
+        if not spans:
+            return shard
+        values = shard.column(at).to_pylist()
+        for d, ranges in spans.items():
+            values[d] = cut_words(values[d], ranges)
+        shard = shard.set_column(at, shard.schema.field(at), pa.array(values, shard.schema.field(at).type))
+        return shard if flag is None else shard.set_column(flag, shard.schema.field(flag), pa.array([d in spans for d in range(len(values))], pa.bool_()))
+
+    if len(parts) == 1:
+        sent = docs.sparkSession.sparkContext.broadcast(_phrases(parts[0]))
+
+        def run(batches):
             for shard in _shards(batches, shard_bytes):
-                text = _one(shard.column(at))
-                _, _, found = search_shard(text, sent.value)
-                if found:
-                    values = text.to_pylist()
-                    cut = [False] * len(values) if flag is None else shard.column(flag).to_pylist()
-                    for d, mask, _ in found:
-                        values[d] = cut_words(values[d], list(zip(*_runs(mask), strict=True)))
-                        cut[d] = True
-                    shard = shard.set_column(at, shard.schema.field(at), pa.array(values, text.type))
-                    if flag is not None:
-                        shard = shard.set_column(flag, shard.schema.field(flag), pa.array(cut, pa.bool_()))
-                yield from shard.to_batches()
-
-        out = out.mapInArrow(run, out.schema)
-    return out
+                _, _, found = search_shard(_one(shard.column(at)), sent.value)
+                yield from cut(shard, {d: list(zip(*_runs(mask), strict=True)) for d, mask, _ in found}).to_batches()
+
+        return out.mapInArrow(run, schema)
+    merged = _all_spans(docs, parts, shard_bytes).drop("_items")
+    joined = out.join(merged, out["doc_id"].eqNullSafe(F.col("_d")) & F.xxhash64(out["text"]).eqNullSafe(F.col("_k")), "left").select(*[out[c] for c in out.columns], "_spans")
+
+    def run_joined(batches):
+        for batch in batches:
+            spans = {d: [(x["first"], x["last"]) for x in r] for d, r in enumerate(batch.column(batch.num_columns - 1).to_pylist()) if r}
+            yield from cut(pa.Table.from_batches([batch]).drop_columns(["_spans"]), spans).to_batches()
+
+    return joined.mapInArrow(run_joined, schema)
