@@ -155,6 +155,19 @@ def test_op3_like_plain_python(spark, docs, nothing):
     assert licenses.scan(nothing, model).count() == 0
 
 
+def test_op3_wrapped_notices(spark, docs):
+    import textwrap
+
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation"
+    rng = random.Random(8)
+    texts = [gpl, f"{prose(rng, 30)}\n\n{gpl}\n\n{prose(rng, 30)}", "\n".join(textwrap.wrap(prose(rng, 400) + " " + gpl + " " + prose(rng, 400), 70)), gpl + "\n\nAll rights reserved.", gpl.replace("\n", "\n \n")]
+    model = licenses.train(docs)
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert [got[i].license for i in range(5)] == ["gpl"] * 4 + ["unknown"]
+    assert [got[i].families for i in range(5)] == ["gpl"] * 3 + ["all-rights-reserved,gpl", ""]
+    assert [got[i].n_confirmed for i in range(5)] == [1, 1, 1, 2, 0]
+
+
 def near_by_brute_force(rows, similarity=0.8):
     sets = []
     for _, t in rows:

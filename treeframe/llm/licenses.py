@@ -1,13 +1,18 @@
 """Licence scans: a trained paragraph classifier in DataFrame expressions alone.
 
-Paragraphs are lines. A multinomial logistic regression over the presence of word 1- to
-3-grams of licence templates (only n-grams with a licence word: a template word that a sample
-of the corpus hardly ever uses) gives each a probability for every licence family and for
-*unknown*. It is trained on the driver from variants of the fixed templates and a bounded
+Paragraphs end at blank lines. Each line is judged alone, and, as notices are wrapped, so are
+the words of a paragraph of several lines, in runs of RUN words that begin every STEP words.
+A multinomial logistic regression over the presence of word 1- to 3-grams of licence templates
+(only n-grams with a licence word: a template word that a sample of the corpus hardly ever
+uses) gives each a probability for every licence family and for *unknown*. It is trained on the driver from variants of the fixed templates and a bounded
 sample of corpus lines; a held-out part sets a temperature and the offset of the unknown class
 (its calibration). A line whose best family reaches ``threshold`` is predicted, and confirmed
 if it holds ``overlap`` of the n-grams of one of that family's templates.
 
+A family that only runs confirm counts once for a document, as one predicted and confirmed;
+runs that are predicted but not confirmed do not count. ``license`` is the first confirmed
+family, by paragraphs, and within one by lines before runs.
+
 Scoring is one narrow pass: lines without a licence word have no feature, so they are unknown
 and only looked at by a pattern; the rest is higher-order functions over arrays. No Python
 runs on the executors, nothing is shuffled, and the model is a literal of bounded size.
@@ -51,6 +56,7 @@ DECOYS = (
     "the software is free of charge this week", "common creative work in the commons", "source code and binary forms of life", "terms of use may change", "mit einer der und", "license plates 2 0 and 4 0",
 )
 FAMILIES = sorted(TEMPLATES)
+RUN, STEP = 48, 16  # any 33 words in a row are whole in some run
 
 
 def words(text: str) -> list[str]:
@@ -152,7 +158,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def predict(model: LicenceModel, text: str, threshold: float = 0.5, overlap: float = 0.6) -> tuple[str, float, bool] | None:
-    """What scan decides for one line, in plain Python: (family, probability, confirmed), or None."""
+    """What scan decides for one line or run, in plain Python: (family, probability, confirmed), or None."""
     w = words(text)
     if not set(w) & set(model.licence_words):
         return None
@@ -185,20 +191,26 @@ def scan(docs: DataFrame, model: LicenceModel, threshold: float = 0.5, overlap:
     names, last = _strings(FAMILIES), len(FAMILIES)
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.select("doc_id", text.alias("text"), F.lower(text).rlike(mark).alias("some"))
-    out = out.select("doc_id", (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long").alias("n_lines"), F.expr(f"CASE WHEN some THEN filter(split(lower(text), '\\n'), p -> p rlike '{mark}') ELSE cast(array() AS array<string>) END").alias("lines"))
-    out = out.select("doc_id", "n_lines", F.expr("transform(lines, p -> regexp_extract_all(p, '[a-z0-9]+', 0))").alias("w"))
-    pairs = "CASE WHEN size(w) > 1 THEN transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1])) ELSE cast(array() AS array<string>) END"
-    triples = "CASE WHEN size(w) > 2 THEN transform(sequence(0, size(w) - 3), i -> concat(w[i], ' ', w[i + 1], ' ', w[i + 2])) ELSE cast(array() AS array<string>) END"
-    out = out.select("doc_id", "n_lines", F.expr(f"transform(w, w -> array_distinct(concat(w, {pairs}, {triples})))").alias("g"))
-    scores = f"aggregate(array_intersect(g, {_strings(model.vocabulary)}), {bias}, (s, x) -> zip_with(s, wt[x], (a, b) -> a + b), s -> transform(s, v -> v / {model.temperature!r}D))"
-    out = out.select("doc_id", "n_lines", F.expr(f"transform(g, g -> struct(g AS g, {scores.replace('wt[x]', table + '[x]')} AS z))").alias("s"))
-    out = out.select("doc_id", "n_lines", F.expr("transform(s, s -> struct(s.g AS g, s.z AS z, aggregate(s.z, 0D, (t, v) -> t + exp(v - array_max(s.z))) AS total))").alias("s"))
+    none = "cast(array() AS array<{}>)"
+    out = out.select("doc_id", (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long").alias("n_lines"), F.expr(f"CASE WHEN some THEN filter(split(lower(text), '\\n\\\\s*\\n'), p -> p rlike '{mark}') ELSE {none.format('string')} END").alias("paragraphs"))
+    found = "regexp_extract_all({}, '[a-z0-9]+', 0)"
+    out = out.select("doc_id", "n_lines", F.expr(f"transform(paragraphs, p -> struct(transform(filter(split(p, '\\n'), l -> l rlike '{mark}'), l -> {found.format('l')}) AS lines, CASE WHEN instr(p, '\\n') > 0 THEN {found.format('p')} ELSE {none.format('string')} END AS w))").alias("q"))
+    runs = f"filter(transform(sequence(0, greatest(0, size(q.w) - {RUN - STEP + 1}), {STEP}), i -> slice(q.w, i + 1, {RUN})), r -> arrays_overlap(r, {_strings(model.licence_words)}))"
+    out = out.select("doc_id", "n_lines", F.expr(f"flatten(transform(q, q -> concat(transform(q.lines, l -> struct(l AS w, false AS run)), transform({runs}, r -> struct(r AS w, true AS run)))))").alias("u"))
+    pairs = "CASE WHEN size(u.w) > 1 THEN transform(sequence(0, size(u.w) - 2), i -> concat(u.w[i], ' ', u.w[i + 1])) ELSE cast(array() AS array<string>) END"
+    triples = "CASE WHEN size(u.w) > 2 THEN transform(sequence(0, size(u.w) - 3), i -> concat(u.w[i], ' ', u.w[i + 1], ' ', u.w[i + 2])) ELSE cast(array() AS array<string>) END"
+    out = out.select("doc_id", "n_lines", F.expr(f"transform(u, u -> struct(array_distinct(concat(u.w, {pairs}, {triples})) AS g, u.run AS run))").alias("g"))
+    scores = f"aggregate(array_intersect(g.g, {_strings(model.vocabulary)}), {bias}, (s, x) -> zip_with(s, wt[x], (a, b) -> a + b), s -> transform(s, v -> v / {model.temperature!r}D))"
+    out = out.select("doc_id", "n_lines", F.expr(f"transform(g, g -> struct(g.g AS g, g.run AS run, {scores.replace('wt[x]', table + '[x]')} AS z))").alias("s"))
+    out = out.select("doc_id", "n_lines", F.expr("transform(s, s -> struct(s.g AS g, s.run AS run, s.z AS z, aggregate(s.z, 0D, (t, v) -> t + exp(v - array_max(s.z))) AS total))").alias("s"))
     best = f"array_max(slice(s.z, 1, {last}))"
-    out = out.select("doc_id", "n_lines", F.expr(f"transform(s, s -> struct(s.g AS g, {names}[array_position(s.z, {best}) - 1] AS family, exp({best} - array_max(s.z)) / s.total AS p))").alias("s"))
-    out = out.select("doc_id", "n_lines", F.expr(f"transform(filter(s, s -> s.p >= {threshold!r}D), s -> struct(s.family AS family, s.p AS p, exists({templates}[s.family], t -> size(array_intersect(t, s.g)) >= {overlap!r}D * size(t)) AS ok))").alias("s"))
-    out = out.select("doc_id", "n_lines", "s", F.expr("filter(s, s -> s.ok)").alias("c"))
+    out = out.select("doc_id", "n_lines", F.expr(f"transform(s, s -> struct(s.g AS g, s.run AS run, {names}[array_position(s.z, {best}) - 1] AS family, exp({best} - array_max(s.z)) / s.total AS p))").alias("s"))
+    out = out.select("doc_id", "n_lines", F.expr(f"transform(filter(s, s -> s.p >= {threshold!r}D), s -> struct(s.run AS run, s.family AS family, s.p AS p, exists({templates}[s.family], t -> size(array_intersect(t, s.g)) >= {overlap!r}D * size(t)) AS ok))").alias("s"))
+    out = out.select("doc_id", "n_lines", F.expr("filter(s, s -> s.ok OR NOT s.run)").alias("s"))
+    out = out.select("doc_id", "n_lines", "s", F.expr("filter(s, s -> NOT s.run)").alias("l"), F.expr("filter(s, s -> s.ok)").alias("c"))
+    only_runs = F.expr("size(array_except(transform(filter(c, s -> s.run), s -> s.family), transform(filter(c, s -> NOT s.run), s -> s.family)))")
     return out.select(
-        "doc_id", "n_lines", F.size("s").cast("long").alias("n_predicted"), F.size("c").cast("long").alias("n_confirmed"),
+        "doc_id", "n_lines", (F.size("l") + only_runs).cast("long").alias("n_predicted"), (F.expr("size(filter(c, s -> NOT s.run))") + only_runs).cast("long").alias("n_confirmed"),
         F.expr("array_join(array_sort(array_distinct(transform(c, s -> s.family))), ',')").alias("families"),
         F.expr("coalesce(try_element_at(c, 1).family, 'unknown')").alias("license"), F.expr("array_max(transform(s, s -> s.p))").alias("probability"),
     )
