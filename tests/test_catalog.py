@@ -54,3 +54,31 @@ def test_entry_without_optional_parts(tmp_path):
     shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'analyze_documents' in q and 'pipeline' not in q and not any(k.startswith('op1') for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+def test_checksums_of_whole_texts(spark, tmp_path):
+    import zlib
+
+    from treeframe.plans import catalog
+
+    texts = {1: "", 2: "abc", 3: "x" * 40 + "é tail", 12345678: "line\n" * 5000, 5: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def fold(data, step):
+        s = 0
+        for b in data:
+            s = step(s, b)
+        return s
+
+    right = lambda bits: lambda s, b: (s // 2 + s % 2 * 2 ** (bits - 1) + b) % 2**bits
+    left = lambda k: lambda s, b: (s * 2**k % 2**32 + s // 2 ** (32 - k)) ^ b
+    rows = {r.doc_id: r for r in catalog.QUERIES["checksums"](spark, str(tmp_path)).collect()}
+    assert set(rows) == set(texts)
+    for i, t in texts.items():
+        raw, name, r = (t or "").encode(), f"{i}.txt".encode(), rows[i]
+        words = [int.from_bytes(raw[k : k + 4], "little") for k in range(0, len(raw) // 4 * 4, 4)]
+        assert r.crc32 == (None if t is None else zlib.crc32(raw))
+        assert (r.rotate16, r.rotate32) == (fold(raw, right(16)), fold(raw, right(32)))
+        assert r.descriptor == fold(words, lambda s, w: (s * 8 % 2**32 + s // 2**29 + w) % 2**32)
+        assert r.short_name == fold(f"{i:<8}TXT".encode(), right(8))
+        assert (r.directory, r.attribute) == (fold(name, left(7)), fold(name, left(5)))

@@ -1,7 +1,8 @@
 """Checksums and name hashes.
 
-Those that are folds of shifts and adds are higher-order functions over the bytes of a column
-and stay in the JVM; those that need unsigned products or tables are vectorised Python.
+Folds of shifts and adds over names and headers are higher-order functions over the bytes of
+a column and stay in the JVM; those over whole data, and those that need unsigned products or
+tables, run in Python over Arrow batches.
 """
 
 from __future__ import annotations
@@ -48,12 +49,41 @@ def short_name_checksum(name: Column) -> Column:
     return _fold(name, 0, _rotate_right_add(8))
 
 
-def rotate_add16(data: Column) -> Column:
-    return _fold(data, 0, _rotate_right_add(16))
+def _data_fold(f):
+    """A fold over a whole text's or file's bytes, linear in them; null counts as empty."""
 
+    @pandas_udf(LongType())
+    def run(data: pd.Series) -> pd.Series:
+        return data.map(lambda b: 0 if b is None else f(b.encode() if isinstance(b, str) else bytes(b))).astype("int64")
+
+    return run
+
+
+def rotate_add16_bytes(data: bytes) -> int:
+    s = 0
+    for b in data:
+        s = ((s >> 1 | (s & 1) << 15) + b) & 0xFFFF
+    return s
+
+
+def rotate_add32_bytes(data: bytes) -> int:
+    s = 0
+    for b in data:
+        s = ((s >> 1 | (s & 1) << 31) + b) & _MASK32
+    return s
+
+
+def descriptor_hash_bytes(data: bytes) -> int:
+    """Rotate left by 3 and add, over little-endian 32-bit words."""
+    s = 0
+    for w in np.frombuffer(data, "<u4", len(data) // 4).tolist():
+        s = ((s << 3 & _MASK32 | s >> 29) + w) & _MASK32
+    return s
 
-def rotate_add32(data: Column) -> Column:
-    return _fold(data, 0, _rotate_right_add(32))
+
+rotate_add16 = _data_fold(rotate_add16_bytes)
+rotate_add32 = _data_fold(rotate_add32_bytes)
+descriptor_hash = _data_fold(descriptor_hash_bytes)
 
 
 def boot_checksum(data: Column) -> Column:
@@ -80,14 +110,6 @@ def attribute_name_hash(name: Column) -> Column:
     return _fold(name, 0, step)
 
 
-def descriptor_hash(data: Column) -> Column:
-    """Rotate left by 3 and add, over little-endian 32-bit words."""
-    h = F.hex(data)
-    words = F.transform(F.sequence(F.lit(0), F.call_function("div", F.octet_length(data), F.lit(4)).cast("int") - 1), lambda i: F.conv(F.concat(*[F.substring(h, i * 8 + k, F.lit(2)) for k in (7, 5, 3, 1)]), 16, 10).cast("long"))
-    some = F.when(F.octet_length(data) >= 4, words).otherwise(F.expr("cast(array() as array<bigint>)"))
-    return F.aggregate(some, F.lit(0).cast("long"), lambda s, w: (F.shiftleft(s, 3).bitwiseAND(F.lit(_MASK32)).bitwiseOR(F.shiftright(s, 29)) + w).bitwiseAND(F.lit(_MASK32)))
-
-
 def _crc32c_table() -> list[int]:
     table = []
     for n in range(256):

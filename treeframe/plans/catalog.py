@@ -618,10 +618,11 @@ def mixed_uuid(spark, sf):
 @query()
 def checksums(spark, sf):
     """The folds and checksums over names and texts; SQL has none of them."""
-    d = V.table(spark, sf, "documents").select("doc_id", F.left("text", F.lit(40)).alias("t"), "text")
-    b = F.col("t").cast("binary")
+    i = F.col("doc_id").cast("string")
+    d = V.table(spark, sf, "documents").select("doc_id", F.concat(i, F.lit(".txt")).cast("binary").alias("name"), F.concat(F.rpad(i, 8, " "), F.lit("TXT")).cast("binary").alias("short"), F.col("text").cast("binary").alias("b"))
+    b, name = F.col("b"), F.col("name")
     return d.select(
-        "doc_id", hashes.crc32(F.col("text")).alias("crc32"), hashes.short_name_checksum(F.substring(b, 1, 11)).alias("short_name"), hashes.directory_name_hash(b).alias("directory"), hashes.attribute_name_hash(b).alias("attribute"),
+        "doc_id", hashes.crc32(b).alias("crc32"), hashes.short_name_checksum(F.col("short")).alias("short_name"), hashes.directory_name_hash(name).alias("directory"), hashes.attribute_name_hash(name).alias("attribute"),
         hashes.rotate_add16(b).alias("rotate16"), hashes.rotate_add32(b).alias("rotate32"), hashes.descriptor_hash(b).alias("descriptor"),
     )
 
