@@ -7,10 +7,12 @@ integers). Ids are dictionary encoded where that is shorter and delta encoded ot
 reader skip pages, so metadata can be read without ids and a range of documents without the
 others. Texts are dealt out by doc_id range before they are encoded, so each is encoded once.
 
-A text is encoded by its white-space separated words, since the tokenizer drops white space and
-nothing it does reaches across; words are looked up in a table of those already encoded. Texts
-with the few control characters on which Python and the tokenizer disagree about white space
-are encoded as they are. The tokenizer's file is a parameter.
+The tokenizer's file is a parameter. If it lower-cases, drops white space and parts letters from
+stops, as the default does (``by_words`` reads that from the file), a text is encoded by its
+white-space separated words, since nothing reaches across them; words are looked up in a table
+of at most ``most`` of those already encoded. Texts with the few control characters on which
+Python and the tokenizer disagree about white space are encoded as they are, and so is every
+text for any other tokenizer.
 
 Defined results: null is an empty text, which has only the end id; null ids come first;
 repeated rows each have a row, in the order of a hash of their text; texts of any length are
@@ -19,7 +21,9 @@ encoded whole; an empty table gives an empty file set; only doc_id and text are
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 import uuid
 import zlib
 from itertools import chain
@@ -56,12 +60,36 @@ class _Table(dict):
         return k
 
 
-# A word that is letters and then stops: the tokenizer always parts them there. Below U+0250
-# lower case is one character for one, and composition changes nothing.
-_STOPPED = re.compile("([^\\W\\d_]+)([.,!?;:]*)")
-_SIMPLE = re.compile("[\x00-\u024f]*")
-# A word of lower-case letters there is one unit, of which the byte-pair model alone makes ids.
-_UNIT = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff\u0100-\u024f]+")
+def _plain_letters() -> str:
+    """Letters below U+0250 whose lower case is one letter there; composition changes none of them."""
+    low = [c.lower() for c in map(chr, range(0x250))]
+    letter = [unicodedata.category(chr(c))[0] == "L" for c in range(0x250)]
+    return "".join(chr(c) for c in range(0x250) if letter[c] and len(low[c]) == 1 and ord(low[c]) < 0x250 and letter[ord(low[c])])
+
+
+# A word of plain letters, and stops after it: the tokenizer parts them there, and the letters, in
+# lower case, are one unit, of which the byte-pair model alone makes ids.
+_UNIT = re.compile(f"[{_plain_letters()}]+")
+_STOPPED = re.compile(f"({_UNIT.pattern})([.,!?;:]*)")
+# What a tokenizer's file must hold for its texts to be encoded by words.
+_BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
+def by_words(tokenizer: str) -> bool:
+    """Whether a tokenizer (its JSON) lower-cases, drops white space and parts letters from stops, so that words can be encoded apart."""
+    held = json.loads(tokenizer)
+    added = [t for t in held.get("added_tokens", []) if t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or not re.fullmatch("<\\|\\S*", t["content"])]
+    return held["model"]["type"] == "BPE" and not added and all(held.get(k) == v for k, v in _BY_WORDS.items())
 
 
 def _byte_letters() -> dict[int, int]:
@@ -77,7 +105,7 @@ _LETTERS = _byte_letters()
 class Encoder:
     """Ids of texts by a table of words; if it gets long, words met once since then are forgotten."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 350_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -86,9 +114,10 @@ class Encoder:
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.by_words = by_words(self.tokenizer.to_str())
         self.table = _Table()
         self.ids, self.end = np.empty(1 << 16, np.int32), 0
-        self.first, self.size, self.seen = (np.zeros(1 << 12, np.int64) for _ in range(3))
+        self.first, self.size, self.seen = (np.zeros(1 << 12, kind) for kind in (np.int64, np.int32, np.int32))
 
     def _append(self, numbers: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
         while self.end + len(ids) > len(self.ids):
@@ -102,7 +131,7 @@ class Encoder:
 
     def _learn_whole(self, words: list[str], numbers: list[int]) -> None:
         """Units go to the model; the other words are encoded as one text, where an id belongs to the word in which its characters start."""
-        unit = [_UNIT.fullmatch(w) is not None and w.islower() for w in words]
+        unit = [w == w.lower() and _UNIT.fullmatch(w) is not None for w in words]
         tokenize = self.tokenizer.model.tokenize
         lists = [[t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_LETTERS))] for w, u in zip(words, unit, strict=True) if u]
         if lists:
@@ -122,7 +151,7 @@ class Encoder:
         whole, numbers, parts = [], [], []
         for word in new:
             m = _STOPPED.fullmatch(word)
-            if m and (m[2] or not word.islower()) and _SIMPLE.fullmatch(word):
+            if m and (m[2] or word != word.lower()):
                 parts.append((table[word], table[m[1].lower()], table[m[2]]))
             else:
                 whole.append(word)
@@ -168,6 +197,9 @@ class Encoder:
         """All ids, and where each text's start (one more entry at the end)."""
         if len(self.table) > self.most:
             self._forget()
+        if not self.by_words:
+            lists = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(lists), np.int32), np.cumsum([0, *map(len, lists)])
         split = [[t] if _ODD_SPACE.search(t) else t.lower().split() if t.isascii() and "<|" not in t else t.split() for t in texts]
         bounds = np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)
         which = np.fromiter(map(self.table.__getitem__, chain.from_iterable(split)), np.int64, int(bounds[-1]))
