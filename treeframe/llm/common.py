@@ -20,20 +20,20 @@ from pyspark.sql import functions as F
 #: Bytes of text that one vector pass takes at most, unless one text alone is longer.
 PASS_BYTES = 1 << 18
 
-_M = np.uint64(0x9E3779B97F4A7C15)
-_M_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Two multipliers of polynomial hashes.
+_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tables() -> tuple[np.ndarray, ...]:
     lower = np.arange(256, dtype=np.uint8)
     lower[65:91] += 32
     word = np.zeros(256, dtype=bool)
     word[48:58] = word[65:91] = word[97:123] = word[128:] = True
-    value = np.random.default_rng(20240517).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return lower, word, value
+    value = [np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (20240517, 71)]
+    return lower, word, *value
 
 
-LOWER, IS_WORD, BYTE_VALUE = _tables()
+LOWER, IS_WORD, BYTE_VALUE, OTHER_VALUE = _tables()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,18 +45,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_powers: list[np.ndarray] = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
+_powers: list[np.ndarray] = [np.empty(0, np.uint64)] * 4
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """M**i and M**-i for i below n, modulo 2**64."""
-    if len(_powers[0]) < n:
+def powers(n: int, other: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """M**i and M**-i for i below n, modulo 2**64, of the first or the other multiplier."""
+    at = 2 * other
+    if len(_powers[at]) < n:
         size = max(n, PASS_BYTES + 4096)
-        for k, m in enumerate((_M, _M_INV)):
-            p = np.full(size, m, np.uint64)
+        m = _MULTIPLIERS[other]
+        for k, x in enumerate((m, pow(m, -1, 1 << 64))):
+            p = np.full(size, x, np.uint64)
             p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
+            _powers[at + k] = np.multiply.accumulate(p)
+    return _powers[at][:n], _powers[at + 1][:n]
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -155,19 +157,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components: edges (a, b) to rows (node, root), root the least node reachable.
 
     Alternates large-star and small-star steps, each a grouped minimum and a join, until no
-    edge changes; each round's edges are written to the shared folder. Nodes without edges do
-    not appear.
+    edge changes. Minima and each round's edges are written to the shared folder: so both sides
+    of a join are plain exchanges, of which Spark splits the one that holds a hub's edges. Nodes
+    without edges to others do not appear, and an empty table gives an empty one.
     """
     now = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = stash(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         # Large star: every neighbour above u gets u's least neighbour.
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stash(large.where("u <> v").distinct(), "edges")
         # Small star: u's neighbours below it, and u, get the least of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stash(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
         now = stash(small.distinct(), "edges")
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
