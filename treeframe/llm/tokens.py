@@ -69,8 +69,8 @@ def _plain_letters() -> str:
 
 # A word of plain letters, and stops after it: the tokenizer parts them there, and the letters, in
 # lower case, are one unit, of which the byte-pair model alone makes ids.
-_UNIT = re.compile(f"[{_plain_letters()}]+")
-_STOPPED = re.compile(f"({_UNIT.pattern})([.,!?;:]*)")
+_STOPS = ".,!?;:"
+_STOPPED = re.compile(f"(?m)^(?:([{_plain_letters()}]+)([{_STOPS}]*)|.*)$")  # of lines that each hold a word
 # What a tokenizer's file must hold for its texts to be encoded by words.
 _BY_WORDS = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -116,6 +116,8 @@ class Encoder:
         self.tokenizer.no_padding()
         self.by_words = by_words(self.tokenizer.to_str())
         self.table = _Table()
+        self.table[""]  # number 0, without ids
+        self.table.new = []
         self.ids, self.end = np.empty(1 << 16, np.int32), 0
         self.first, self.size, self.seen = (np.zeros(1 << 12, kind) for kind in (np.int64, np.int32, np.int32))
 
@@ -129,14 +131,13 @@ class Encoder:
         self.size[numbers] = size
         self.end += len(ids)
 
-    def _learn_whole(self, words: list[str], numbers: list[int]) -> None:
-        """Units go to the model; the other words are encoded as one text, where an id belongs to the word in which its characters start."""
-        unit = [w == w.lower() and _UNIT.fullmatch(w) is not None for w in words]
+    def _learn_units(self, words: list[str], numbers: list[int]) -> None:
         tokenize = self.tokenizer.model.tokenize
-        lists = [[t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_LETTERS))] for w, u in zip(words, unit, strict=True) if u]
-        if lists:
-            self._append(np.array([k for k, u in zip(numbers, unit, strict=True) if u]), np.fromiter(chain.from_iterable(lists), np.int32), np.array([len(x) for x in lists]))
-        words, numbers = [w for w, u in zip(words, unit, strict=True) if not u], [k for k, u in zip(numbers, unit, strict=True) if not u]
+        lists = [[t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_LETTERS))] for w in words]
+        self._append(np.array(numbers, np.int64), np.fromiter(chain.from_iterable(lists), np.int32), np.fromiter(map(len, lists), np.int32, len(lists)))
+
+    def _learn_whole(self, words: list[str], numbers: list[int]) -> None:
+        """Encoded as one text, where an id belongs to the word in which its characters start."""
         for a in range(0, len(words), 2048):
             part = words[a : a + 2048]
             e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
@@ -145,27 +146,31 @@ class Encoder:
             self._append(np.array(numbers[a : a + 2048]), np.array(e.ids, np.int32), np.bincount(owner, minlength=len(part)))
 
     def _learn(self) -> None:
-        """Words that are a simple word and stops get the ids of both; the others are encoded."""
+        """Plain letters go to the model; with capitals or stops they get the ids of both parts; other words are encoded."""
         table, new = self.table, self.table.new
         table.new = []
-        whole, numbers, parts = [], [], []
-        for word in new:
-            m = _STOPPED.fullmatch(word)
-            if m and (m[2] or word != word.lower()):
-                parts.append((table[word], table[m[1].lower()], table[m[2]]))
+        base = len(table) - len(new)  # new words are numbered as they came
+        lines = "\n".join(new)
+        kinds = _STOPPED.findall(lines) if lines.count("\n") == len(new) - 1 else [("", "") if "\n" in w else _STOPPED.findall(w)[0] for w in new]
+        units, whole, parts = ([], []), ([], []), []
+        for k, (letters, stops) in enumerate(kinds, base):
+            if not letters:
+                whole[0].append(new[k - base])
+                whole[1].append(k)
+                continue
+            low = letters.lower()
+            if stops or low != letters:
+                parts.append((k, table[low], table[stops] if stops else 0))
             else:
-                whole.append(word)
-                numbers.append(table[word])
-        whole += table.new
-        numbers += map(table.__getitem__, table.new)
+                units[0].append(low)
+                units[1].append(k)
+        for k, word in enumerate(table.new, len(table) - len(table.new)):
+            to = whole if word[0] in _STOPS else units
+            to[0].append(word)
+            to[1].append(k)
         table.new = []
-        empty = [k for w, k in zip(whole, numbers, strict=True) if not w]
-        if empty:
-            self._append(np.array(empty), np.empty(0, np.int32), np.array([0]))
-            numbers = [k for w, k in zip(whole, numbers, strict=True) if w]
-            whole = [w for w in whole if w]
-        if whole:
-            self._learn_whole(whole, numbers)
+        self._learn_units(*units)
+        self._learn_whole(*whole)
         if parts:
             p = np.array(parts)
             pair = p[:, 1:].ravel()
@@ -179,19 +184,17 @@ class Encoder:
     def _forget(self) -> None:
         """Keep the words met twice or more, halving their counts."""
         n = len(self.table)
-        kept = [(w, k) for w, k in self.table.items() if self.seen[k] > 1]
+        kept = [(w, k) for (w, k), seen in zip(self.table.items(), self.seen[:n].tolist(), strict=True) if seen > 1 and k]
         if len(kept) > self.most // 2:
             kept = []
-        old = np.array([k for _, k in kept], np.int64)
+        old = np.array([0, *(k for _, k in kept)], np.int64)
         ids, _ = self._gather(old)
         size, seen = self.size[old], self.seen[old] // 2
         self.table, self.end = _Table(), 0
-        for w, _ in kept:
-            dict.__setitem__(self.table, w, len(self.table))
+        self.table.update(zip(["", *(w for w, _ in kept)], range(len(old)), strict=True))
         self.seen[:n] = 0
-        if len(old):
-            self._append(np.arange(len(old)), ids, size)
-            self.seen[: len(old)] = seen
+        self._append(np.arange(len(old)), ids, size)
+        self.seen[: len(old)] = seen
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's start (one more entry at the end)."""
