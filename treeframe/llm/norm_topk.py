@@ -1,15 +1,18 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
 Vectors are sorted by length within their dimension and cut into buckets of at most
-``bucket_rows``; a bucket is one row of packed matrices. Queries are taken in blocks of at most
-``block_rows``, each block sent to the executors in one pass over all buckets (so what is sent
-is bounded, and a larger query set takes more passes, not more memory). A query first gets a
-threshold, its k-th best score among about ``seed_rows`` of the longest vectors. In a bucket with
+``bucket_rows``; a bucket is one row of packed matrices. A query first gets a threshold, its k-th
+best score among at most ``seed_rows`` of the longest vectors (the only rows that are sent to all
+tasks); queries are then sorted by the length that a vector needs to reach it, packed alike, and
+taken in groups of GROUP_BLOCKS blocks. A grid of cells deals groups of queries to groups of
+buckets: a bucket goes to those groups alone of which some query can reach its longest vector, a
+cell holds a bounded number of queries and reads its buckets one by one, and a larger query set
+makes more cells, not larger ones. In a bucket with
 greatest length l it needs a cosine of at least threshold / (|q| l): above 1 the bucket is
 skipped; a high one prunes by coordinates (the two largest of the query bound what a candidate's
 may be, found by binary search in sorted columns); a low one prunes by length alone (the
 bucket's rows that are long enough). What is left is verified by exact integer products.
-Thresholds rise as a task goes on, and a task sends at most k rows a query.
+Thresholds rise as a cell goes on, and a cell sends at most k rows a query.
 
 Vectors take part if they and their id are not null and every component is finite; a vector
 meets those of its own dimension only. Defined results: repeated candidates count each,
@@ -28,6 +31,8 @@ from pyspark.sql.window import Window
 from .common import shuffle_partitions, stash
 
 _PACKED = "dim int, longest double, ids binary, vectors binary"
+_CELL = ("dim", "group", "share")
+GROUP_BLOCKS, SHARE_BUCKETS, MOST_GROUPS = 16, 64, 1 << 16
 
 
 def integer_vectors(rows: DataFrame, scale: int = 64) -> DataFrame:
@@ -42,14 +47,11 @@ def integer_vectors(rows: DataFrame, scale: int = 64) -> DataFrame:
 def _pack(most: int):
     def run(batches):
         for batch in batches:
-            ids, lists, dims, norm2 = (batch.column(k) for k in range(4))
-            ids, dims, norm2 = ids.to_numpy(), dims.to_numpy(), norm2.to_numpy()
-            values, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            cut = np.flatnonzero(dims[1:] != dims[:-1]) + 1
-            for lo, hi in zip(np.concatenate([[0], cut]), np.append(cut, len(ids)), strict=True):
-                for a in range(lo, hi, most):
-                    b = min(a + most, hi)
-                    yield pa.RecordBatch.from_arrays([pa.array([dims[a]], pa.int32()), pa.array([float(np.sqrt(norm2[a:b].max()))]), pa.array([ids[a:b].astype("<i8").tobytes()]), pa.array([values[at[a] : at[b]].astype("<i8").tobytes()])], ["dim", "longest", "ids", "vectors"])
+            norm2 = batch.column(3).to_numpy()
+            for rows, ids, v in _matrices(batch):
+                for a in range(0, len(ids), most):
+                    longest = float(np.sqrt(norm2[rows][a : a + most].max()))
+                    yield pa.RecordBatch.from_arrays([pa.array([v.shape[1]], pa.int32()), pa.array([longest]), pa.array([ids[a : a + most].astype("<i8").tobytes()]), pa.array([v[a : a + most].astype("<i8").tobytes()])], ["dim", "longest", "ids", "vectors"])
 
     return run
 
@@ -130,7 +132,7 @@ def search_bucket(best: Best, rows: np.ndarray, query_ids: np.ndarray, queries:
     return {"skipped": int(skipped.sum()), "coordinate": int(by_coordinate.sum()), "length": len(rest)}
 
 
-def top_k(rows: DataFrame, every: int = 20, k: int = 20, bucket_rows: int = 2048, block_rows: int = 16384, seed_rows: int = 2048) -> DataFrame:
+def top_k(rows: DataFrame, every: int = 20, k: int = 20, bucket_rows: int = 2048, block_rows: int = 1024, seed_rows: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score for queries whose id ``every`` divides."""
     spark = rows.sparkSession
     vectors = stash(integer_vectors(rows), "vectors")
@@ -138,74 +140,116 @@ def top_k(rows: DataFrame, every: int = 20, k: int = 20, bucket_rows: int = 2048
     n = shuffle_partitions(spark)
     dealt = vectors.repartitionByRange(n, *order).sortWithinPartitions(*order).select("id", "v", "dim", "norm2")
     buckets = stash(dealt.mapInArrow(_pack(bucket_rows), _PACKED), "buckets")
-    queries = vectors.where(F.col("id") % every == 0).dropDuplicates(["id", "v"])
-    total = queries.count()
-    blocks = max(1, -(-total // block_rows))
-    number = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    seeds = [_unpacked(r["ids"], r["vectors"], r["dim"]) for r in _longest(vectors, seed_rows)]
-    out = None
-    for b in range(blocks):
-        part = queries.where(number == b).orderBy("dim", "id")
-        block = _block(part.toArrow(), seeds, k)
-        found = buckets.mapInArrow(_searched(spark.sparkContext.broadcast(block), k), "query_id long, vec_id long, score long")
-        out = found if out is None else out.unionByName(found)
+    seeds = spark.sparkContext.broadcast(_longest(vectors, seed_rows))
+
+    queries = vectors.where(F.col("id") % every == 0).dropDuplicates(["id", "v"]).select("id", "v", "dim", "norm2")
+    queries = queries.mapInArrow(_thresholds(seeds, k), "id long, v array<bigint>, dim int, least double, need double")
+    order = [F.col("dim"), F.col("need"), F.col("id")]
+    queries = queries.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    blocks = stash(queries.mapInArrow(_pack_queries(block_rows), "dim int, group long, need double, ids binary, vectors binary, least binary"), "queries")
+
+    shares = -(-max(1, buckets.count()) // SHARE_BUCKETS)
+    groups = stash(blocks.groupBy("dim", "group").agg(F.min("need").alias("need")), "groups")
+    groups = F.broadcast(groups) if groups.count() <= MOST_GROUPS else groups  # 20 bytes each
+    share = F.pmod(F.xxhash64("ids"), F.lit(shares))
+    met = buckets.join(groups, "dim").where(F.col("longest") * (1 + 1e-9) >= F.col("need")).select(*_CELL[:2], share.alias("share"), F.lit(1).alias("kind"), "longest", "ids", "vectors", F.lit(None).cast("binary").alias("least"))
+    asked = blocks.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
+    asked = asked.select(*_CELL, F.lit(0).alias("kind"), F.lit(0.0).alias("longest"), "ids", "vectors", "least")
+    cells = asked.unionByName(met).repartition(n, *_CELL).sortWithinPartitions(*_CELL, "kind", F.desc("longest"))
+    out = cells.mapInArrow(_searched(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _longest(vectors: DataFrame, seed_rows: int) -> list[dict]:
-    """About the longest vectors, ``seed_rows`` of them at most, by dimension.
+def _longest(vectors: DataFrame, seed_rows: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """About the longest vectors, ``seed_rows`` of them at most: ids and matrix by dimension.
 
     Any vectors give a threshold that holds, so an approximate quantile will do for the cut.
     """
     total = vectors.count()
     cut = vectors.agg(F.percentile_approx("norm2", F.lit(max(0.0, 1 - seed_rows / total)), F.lit(10000))).first()[0] if total else 0.0
-    got = vectors.where(F.col("norm2") >= cut).select("id", "v", "dim").limit(seed_rows).toArrow().sort_by("dim")
-    out, dims = [], got["dim"].to_numpy()
+    got = vectors.where(F.col("norm2") >= cut).select("id", "v", "dim").limit(seed_rows).toArrow()
+    out, dims = {}, got["dim"].to_numpy()
     for d in np.unique(dims):
         at = np.flatnonzero(dims == d)
-        ids = got["id"].to_numpy()[at]
-        v = np.array([got["v"][int(i)].as_py() for i in at], "<i8").reshape(len(at), d)
-        out.append({"dim": int(d), "ids": ids.astype("<i8").tobytes(), "vectors": v.tobytes()})
+        out[int(d)] = got["id"].to_numpy()[at], np.array([got["v"][int(i)].as_py() for i in at], "<i8").reshape(len(at), d)
     return out
 
 
-def _block(got: pa.Table, seeds: list[tuple[np.ndarray, np.ndarray]], k: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By dimension: query ids, vectors, and first thresholds."""
-    block: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-    if not got.num_rows:
-        return block
-    dims, ids = got["dim"].to_numpy(), got["id"].to_numpy()
-    values = got["v"].combine_chunks()
-    flat, at = values.values.to_numpy(zero_copy_only=False), values.offsets.to_numpy()
-    for d in np.unique(dims):
-        rows = np.flatnonzero(dims == d)
-        q = flat[at[rows[0]] : at[rows[-1] + 1]].reshape(len(rows), d)
-        least = np.full(len(rows), -np.inf)
-        for seed_ids, seed in seeds:
-            if seed.shape[1] == d and len(seed) > k:
-                for a in range(0, len(rows), 1024):
+def _matrices(batch: pa.RecordBatch):
+    """(rows, ids, matrix) of each run of equal dimensions of a batch (id, v, dim, ...)."""
+    ids, lists, dims = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy()
+    values, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    cut = np.flatnonzero(dims[1:] != dims[:-1]) + 1
+    for lo, hi in zip(np.concatenate([[0], cut]), np.append(cut, len(ids)), strict=True):
+        if hi > lo:
+            yield slice(lo, hi), ids[lo:hi], values[at[lo] : at[hi]].reshape(hi - lo, dims[lo])
+
+
+def _thresholds(seeds, k: int):
+    """Each query's k-th best score among the seeds, and the length that a vector needs to reach it."""
+
+    def run(batches):
+        for batch in batches:
+            least, need = np.full(len(batch), -np.inf), np.full(len(batch), -np.inf)
+            for rows, ids, q in _matrices(batch):
+                seed_ids, seed = seeds.value.get(q.shape[1], (np.empty(0, np.int64), np.empty((0, q.shape[1]), np.int64)))
+                if len(seed) <= k:
+                    continue
+                best = np.full(len(q), -np.inf)
+                for a in range(0, len(q), 1024):
                     s = _products(q[a : a + 1024], seed)
-                    s = np.where(seed_ids[None, :] == ids[rows[a : a + 1024]][:, None], np.iinfo(np.int64).min, s)
+                    s = np.where(seed_ids[None, :] == ids[a : a + 1024][:, None], np.iinfo(np.int64).min, s)
                     kth = np.partition(s, len(seed) - k, axis=1)[:, len(seed) - k]
-                    least[a : a + 1024] = np.where(kth > np.iinfo(np.int64).min, kth, -np.inf)
-        block[int(d)] = (ids[rows], q, least)
-    return block
+                    best[a : a + 1024] = np.where(kth > np.iinfo(np.int64).min, kth, -np.inf)
+                least[rows] = best
+                length = np.sqrt((q.astype(np.float64) ** 2).sum(1))
+                need[rows] = np.where(best > 0, best / np.maximum(length, 1e-300), -np.inf)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(least), pa.array(need)], ["id", "v", "dim", "least", "need"])
+
+    return run
+
+
+def _pack_queries(most: int):
+    def run(batches):
+        from pyspark import TaskContext
+
+        n, before = 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            least, need = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            for rows, ids, q in _matrices(batch):
+                for a in range(0, len(ids), most):
+                    part = slice(rows.start + a, min(rows.start + a + most, rows.stop))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([q.shape[1]], pa.int32()), pa.array([before | n // GROUP_BLOCKS]), pa.array([float(need[part].min())]), pa.array([ids[a : a + most].astype("<i8").tobytes()]),
+                        pa.array([q[a : a + most].astype("<i8").tobytes()]), pa.array([least[part].astype("<f8").tobytes()]),
+                    ], ["dim", "group", "need", "ids", "vectors", "least"])
+                    n += 1
+
+    return run
+
 
+def _searched(k: int):
+    def found(best: Best, ids: np.ndarray):
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(s) for s in best.scores])), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))], ["query_id", "vec_id", "score"])
 
-def _searched(sent, k: int):
     def run(batches):
-        best: dict[int, Best] = {}
-        block = sent.value
+        cell, held, ids, queries, best = None, [], None, None, None
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["dim"] in block:
-                    ids, q, least = block[r["dim"]]
-                    b = best.setdefault(r["dim"], Best(len(ids), k, least))
-                    search_bucket(b, np.arange(len(ids)), ids, q, *_unpacked(r["ids"], r["vectors"], r["dim"]))
-        for d, b in best.items():
-            ids = block[d][0]
-            size = [len(s) for s in b.scores]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, size)), pa.array(np.concatenate(b.ids)), pa.array(np.concatenate(b.scores))], ["query_id", "vec_id", "score"])
+            for i in range(len(batch)):
+                r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                if (here := tuple(r[c] for c in _CELL)) != cell:
+                    if best is not None:
+                        yield found(best, ids)
+                    cell, held, best = here, [], None
+                if not r["kind"]:
+                    held.append((*_unpacked(r["ids"], r["vectors"], r["dim"]), np.frombuffer(r["least"], "<f8")))
+                    continue
+                if best is None:
+                    ids, queries, least = (np.concatenate(x) for x in zip(*held, strict=True))
+                    best = Best(len(ids), k, least)
+                search_bucket(best, np.arange(len(ids)), ids, queries, *_unpacked(r["ids"], r["vectors"], r["dim"]))
+        if best is not None:
+            yield found(best, ids)
 
     return run
