@@ -107,19 +107,92 @@ def test_op1_table_forgets():
         assert ids.tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids and at.tolist() == [0, len(ids), len(ids)]
 
 
-def test_op2_like_all_products(spark):
+def same_as_library(path, texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    e = tokens.Encoder(path)
+    ids, at = e.encode(texts)
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [ids[a:b].tolist() for a, b in itertools.pairwise(at)] == want
+
+
+def test_op1_every_letter_with_stops():
+    letters = [chr(c) for c in range(0x250) if c != 0x1C]
+    texts = [x for c in letters for stop in ("", ".", "!?", ";:,", "'s") for x in (f"1 {c}{stop} cups", f"a{c}b{stop}", f"{c}{c.upper()}{stop}x")]
+    for a in range(0, len(texts), 1000):  # a new table each time
+        same_as_library(tokens.default_tokenizer(), texts[a : a + 1000])
+    same_as_library(tokens.default_tokenizer(), [" ".join(texts)])
+
+
+def test_op1_random_texts():
+    rng = random.Random(12)
+    some = [*map(chr, range(0x20, 0x250)), *(chr(rng.randrange(0x250, 0xD800)) for _ in range(600)), *(chr(rng.randrange(0xE000, 0x20000)) for _ in range(200)), *"\u0301\u0345\u00a0\u2028\u0085\t\n", "<|endoftext|>", "e\u0301", " ", "'ll ", "...", "The", "ENDS"]
+    same_as_library(tokens.default_tokenizer(), ["".join(rng.choice(some) for _ in range(rng.randint(0, 25))) for _ in range(4000)])
+
+
+def test_op1_other_tokenizer():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not tokens.Encoder(path).by_words
+    same_as_library(path, ["A  tab\tand ½ cups. ", "", "ÜBER\n"])
+
+
+def test_op1_files(spark, tmp_path):
+    """Encodings, row groups and page indexes of the files, and pages left out when a range is read."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rng = random.Random(13)
+    docs = spark.createDataFrame([(i, prose(rng, 300)) for i in range(3000)], "doc_id long, text string").coalesce(1)
+    tokens.write_tokens(docs, f"file://{tmp_path}/t")
+    ids_bytes = 0
+    for f in sorted(glob.glob(f"{tmp_path}/t/*.parquet")):
+        footer = pq.read_metadata(f)
+        for g in range(footer.num_row_groups):
+            group = footer.row_group(g)
+            assert group.total_byte_size <= 2 * tokens.ROW_GROUP_BYTES
+            for c in range(group.num_columns):
+                column = group.column(c)
+                assert column.has_offset_index and (column.has_column_index or column.path_in_schema.startswith("ids"))
+                assert {"RLE_DICTIONARY", "DELTA_BINARY_PACKED"} & set(column.encodings)
+                ids_bytes += column.total_compressed_size * column.path_in_schema.startswith("ids")
+    assert ids_bytes > 4 * tokens.PAGE_BYTES  # several pages, so that some can be left out
+
+    # Vectored reads are not counted by Hadoop.
+    spark.sparkContext._jsc.hadoopConfiguration().set("parquet.hadoop.vectored.io.enabled", "false")
+
+    def bytes_read():
+        return sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+
+    before = bytes_read()
+    assert tokens.read_tokens(spark, f"file://{tmp_path}/t").agg(F.sum(F.size("ids"))).first()[0] > 0
+    whole, before = bytes_read() - before, bytes_read()
+    assert [r.doc_id for r in tokens.read_tokens(spark, f"file://{tmp_path}/t", 1500, 1501).collect()] == [1500, 1501]
+    read = bytes_read() - before
+    assert read < whole / 2
+    before = bytes_read()
+    assert tokens.read_metadata(spark, f"file://{tmp_path}/t").count() == 3000
+    assert bytes_read() - before < whole / 2
+
+
+def test_op2_like_all_products(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(i, (rng.normal(size=6) * rng.choice([0.1, 1, 3])).astype(float).tolist()) for i in range(400)]
     rows += [(400 + i, rows[3][1]) for i in range(60)] + [(460, None), (461, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (462, [float("nan")] * 6), (463, [float("inf")] * 6), (None, [1.0] * 6), (480, [0.0] * 6), (500, [1.0, 2.0]), (501, [1.0, 1.0]), (520, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
     good = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    want = set()
-    for q, v in good:
-        if q % 20 == 0:
-            best = sorted(((-int(v @ w), c) for c, w in good if c != q and len(w) == len(v)))[:20]
-            want |= {(q, r + 1, c, -s) for r, (s, c) in enumerate(best)}
-    for options in ({}, {"bucket_rows": 16, "seed_rows": 30, "block_rows": 7}):
+    for options in ({}, {"bucket_rows": 16, "seed_rows": 30, "block_rows": 7}, {"every": 2, "bucket_rows": 16, "block_rows": 5}):
+        want = set()
+        for q, v in good:
+            if q % options.get("every", 20) == 0:
+                best = sorted(((-int(v @ w), c) for c, w in good if c != q and len(w) == len(v)))[:20]
+                want |= {(q, r + 1, c, -s) for r, (s, c) in enumerate(best)}
         assert {tuple(r) for r in norm_topk.top_k(df, **options).collect()} == want
+        monkeypatch.setattr(norm_topk, "SHARE_BUCKETS", 3)
+        monkeypatch.setattr(norm_topk, "GROUP_BLOCKS", 2)
     assert norm_topk.top_k(df.limit(0)).count() == 0
 
 
@@ -196,6 +269,7 @@ def near_by_brute_force(rows, similarity=0.8):
 @pytest.mark.parametrize("block", [256, 3])
 def test_op4_like_all_pairs(spark, docs, nothing, monkeypatch, block):
     monkeypatch.setattr(near_join, "BLOCK_ROWS", block)
+    monkeypatch.setattr(near_join, "PAIR_ROWS", 4 * block)
     rng = random.Random(7)
     base = prose(rng, 150).split()
     rows = [(r[0], r[1]) for r in odd_rows()]
@@ -204,11 +278,37 @@ def test_op4_like_all_pairs(spark, docs, nothing, monkeypatch, block):
         for _ in range(rng.randint(0, 5)):
             w[rng.randrange(len(w))] = "edit%d" % rng.randrange(9)
         rows.append((200 + i, " ".join(w)))
+    rows += [(5, " ".join(base) + " tail"), (5, prose(rng, 90)), (6, prose(rng, 90) + " x")]  # one id, two texts
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rep", F.lit("clash"))
     assert sorted((str(r.doc_id), r.class_id, r.n_links) for r in near_join.classes(df).collect()) == near_by_brute_force(rows)
     assert near_join.classes(nothing).count() == 0
 
 
+def test_op4_recall(spark):
+    """Links found of all pairs at 0.8 or more, among families of texts with ever more edits."""
+    rng = random.Random(17)
+    rows = []
+    for f in range(60):
+        base = prose(rng, 120).split()
+        for k in range(12):
+            w = list(base)
+            for at in rng.sample(range(len(w)), k // 2):
+                w[at] = "edit%d" % rng.randrange(10**6)
+            rows.append((100 * f + k, " ".join(w)))
+    got = {r.doc_id: r.n_links for r in near_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {int(d): n for d, _, n in near_by_brute_force(rows)}
+    assert sum(got.values()) >= 0.99 * sum(want.values()) > 0 and all(got[d] <= want[d] for d in want)
+
+
+def test_op4_one_id_two_texts(spark):
+    rng = random.Random(18)
+    a, b = prose(rng, 100), prose(rng, 100)
+    docs = spark.createDataFrame([(1, a + " tail", "x"), (5, a, "x"), (5, b, "x")], "doc_id long, text string, _drop_text string")
+    assert sorted((r.doc_id, r.text == b, r._drop_text) for r in near_join.keep_one(docs).collect()) == [(1, False, "x"), (5, True, "x")]
+    with pytest.raises(ValueError):
+        near_join.stop_depth(0.05, 0.9999)
+
+
 def test_op4_keeps_one(spark):
     rows = [(3, "a b c d e f g h"), (1, "a b c d e f g h"), (2, "other words stand here now"), (None, "a b c d e f g h"), (4, None)]
     kept = near_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -228,6 +328,10 @@ def test_op5_batches(spark, docs, nothing):
         assert cost(packing.boundaries(sizes, counts, 3)) == best
     rows = packing.pack(docs, buckets=3, budget=2048).collect()
     assert sorted(str(r.doc_id) for r in rows) == sorted(str(r[0]) for r in odd_rows())
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.default_tokenizer())
+    assert sorted((str(r.doc_id), r.n_tokens) for r in rows) == sorted((str(r[0]), len(t.encode(r[1] or "", add_special_tokens=False).ids) + 1) for r in odd_rows())
     batches = collections.defaultdict(list)
     for r in rows:
         assert r.n_tokens <= r.padded_tokens
@@ -260,13 +364,14 @@ def removed_by_brute_force(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [256, 2])
-def test_op6_like_every_window(spark, nothing, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT_PIECES", hot)
+@pytest.mark.parametrize("most", [1 << 19, 1500])
+def test_op6_like_every_window(spark, nothing, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", most)
     rng = random.Random(9)
     line = prose(rng, 20)
-    rows = [(r[0], r[1][:9000] if r[1] else r[1]) for r in odd_rows()]
-    rows += [(300 + i, prose(rng, rng.randint(5, 40)) + line + prose(rng, 10)) for i in range(25)] + [(400, "ab" * 300), (401, "abc" * 100 + line[:99])]
+    rows = [(r[0], r[1]) for r in odd_rows()]
+    rows += [(300 + i, prose(rng, rng.randint(5, 40)) + line + prose(rng, 10)) for i in range(40)] + [(400, "ab" * 300), (401, "abc" * 100 + line[:99])]
+    rows += [(None, prose(rng, 25) + line[i:]) for i in range(30)] + [(-(1 << 63), line + prose(rng, 30)), (-(1 << 63), line)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("k", F.lit("clash"))
     assert sorted((str(r[0]), *r[1:]) for r in suffix_dedup.dedup(df).collect()) == removed_by_brute_force(rows)
     assert suffix_dedup.dedup(nothing).count() == 0

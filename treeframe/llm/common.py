@@ -130,6 +130,8 @@ def shared_folder(spark: SparkSession) -> str:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = at.get() if at.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="treeframe-")
@@ -137,12 +139,21 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stash(df: DataFrame, name: str, sorted_by: str | None = None) -> DataFrame:
+def stash(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder, read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/treeframe-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stashed_at = path.rpartition("/")[0]
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stashed tables that no plan reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stashed_at)
+        path.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -161,7 +172,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     of a join are plain exchanges, of which Spark splits the one that holds a hub's edges. Nodes
     without edges to others do not appear, and an empty table gives an empty one.
     """
-    now = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    last = now = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -173,6 +184,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = stash(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
         now = stash(small.distinct(), "edges")
+        discard(last, least, large, low)
+        last = now
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sums == before:
             break

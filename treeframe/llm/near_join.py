@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, components, mix, shuffle_partitions, slices, stash, string_buffers
+from .common import Words, components, discard, mix, shuffle_partitions, slices, stash, string_buffers
 
 SHINGLE = 5
 TREES, DEPTH = 24, 8
@@ -290,6 +290,7 @@ def candidates(reps: DataFrame, similarity: float, recall: float) -> DataFrame:
     cells = cells.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), meets - 1)))
     cells = cells.withColumn("_a", F.least("_own", "_other")).withColumn("_b", F.greatest("_own", "_other"))
     joined = components(_across(_together(cells.select(*node, "_a", "_b", "_own", "root", "n", "paths"), [*node, "_a", "_b"]), similarity))
+    discard(rows, most)
     return grouped.select("sid", "root").join(joined.select(F.col("node").alias("root"), F.col("root").alias("_joined")), "root", "left").select("sid", F.coalesce("_joined", "root").alias("root"))
 
 
@@ -408,6 +409,7 @@ def classes(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9999) ->
 
     member = stash(candidates(reps, similarity, recall), "members")
     links = stash(links_of(docs, reps, member, similarity), "links")
+    discard(member)
     joined = components(links.select(F.col("sid").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "sid")
     least = stash(joined.join(reps.select("sid", "doc_id"), "sid").groupBy("root").agg(F.min("doc_id").alias("class_id")), "least")
     joined = joined.join(least, "root").drop("root")

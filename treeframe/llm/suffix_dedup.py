@@ -8,23 +8,25 @@ Equal pieces are aggregated to their first occurrence (the others are covered wh
 where different pieces share a minimizer, or one repeats its own, are bytes looked at: whole
 minimizer groups are joined to chunks of bounded size, and in each the suffixes are sorted, the
 Burrows-Wheeler transform is taken, and common prefixes are derived breadth-first by backward
-extension: two neighbours have a common prefix of at least l + 1 if they start with the same
-byte and no boundary of level l lies between the rows that they extend to. Levels run from 1
-to LENGTH and no further; what no boundary parts then is a repeated window. Its earliest start,
+extension, by levels that double: neighbours that share l bytes share l + s (s at most l) if no
+boundary of level l lies between the rows of their suffixes s bytes on. Levels run from 1 to
+LENGTH and no further; what no boundary parts then is a repeated window. Its earliest start,
 by (doc_id, position), stays; the others are covered.
 
-A minimizer that more than HOT_PIECES different pieces share (a very common line in changing
-surroundings) would make a group without bound. Its pieces are cut again, by the minimizer of
-each window's first FRONT bytes, and the parts, most of which are equal, go through the same
-steps. Where still more than HOT_PIECES parts differ, their windows are aggregated one by one,
-by two 64-bit hashes, which is exact in the same sense and has no hot key, since equal parts
-were joined before.
-
-Defined results: null is an empty text; null ids come before all others; of texts under one
-doc_id, equal starts are not earlier than each other, so a repeated row gets the same result
-as its double; texts of any length are used whole, in overlapping slices; an empty table gives
-an empty result; only doc_id and text are read. Strings that are only compared by hash (equal
-pieces, windows of hot groups) are taken as equal if 128 bits agree.
+A group whose different pieces hold more than GROUP_BYTES (a very common line in changing
+surroundings) doesn't fit a chunk. Its pieces are cut again, where the minimizer of a smaller
+region of the window changes, and the parts, most of which are equal, go through the same steps
+as pieces; CUTS names the regions, each for groups that the one before left too large. What is
+too large after the last has parts of a few windows each that agree at both ends; those windows
+are aggregated one by one, by two independent 64-bit hashes, which has no hot key.
+
+Defined results: null is an empty text; a null id counts as the least of all; of texts under
+one doc_id, equal starts are not earlier than each other, so a repeated row gets the same
+result as its double; texts of any length are used whole, in overlapping slices; an empty
+table gives an empty result; only doc_id and text are read. Texts of one id are told apart by
+64 bits of a hash. Pieces are taken as equal if a 64-bit hash of all their bytes and that of
+their minimizer agree, so a false match needs a collision of 64 bits among the pieces of one
+minimizer; windows of the last step if 128 bits agree.
 """
 
 from __future__ import annotations
@@ -37,28 +39,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE_VALUE, PASS_BYTES, mix, powers, release, shuffle_partitions, slices, stash, string_buffers
+from .common import BYTE_VALUE, OTHER_VALUE, PASS_BYTES, discard, mix, powers, release, shuffle_partitions, slices, stash, string_buffers
 
 LENGTH = 100
 K = 24
 PIECE = 256
-HOT_PIECES = 256
-FRONT, FRONT_K = 24, 8
-CHUNK_BYTES = 1 << 18
+CHUNK_BYTES, GROUP_BYTES = 1 << 18, 1 << 18
+#: (first byte, bytes, gram) of the regions of a window by which groups that don't fit are cut again.
+CUTS = ((0, 24, 8), (LENGTH - 24, 24, 8), (0, 8, 4), (LENGTH - 8, 8, 4))
 FIRST_ID = -(1 << 63)
-#: A piece's place as one number: its start, then 23 bits of a hash of the text, then whether its
-#: minimizer repeats within it, then its windows less one.
-_START, _TEXT, _OWN = 32, 9, 8
-_TEXT_MASK = (1 << (_START - _TEXT)) - 1
+#: A piece's place as one number: its start, then whether its minimizer repeats within it, then its windows less one.
+_START, _OWN = 9, 8
 
 
 class Hashed:
-    """Polynomial hashes of any string of a byte slice."""
+    """Polynomial hashes of any string of a byte slice; other: by another multiplier and table of byte values."""
 
-    def __init__(self, raw: np.ndarray):
-        self.power, self.inverse = powers(len(raw) + 1)
+    def __init__(self, raw: np.ndarray, other: bool = False):
+        self.power, self.inverse = powers(len(raw) + 1, other)
         self.prefix = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(BYTE_VALUE[raw] * self.power[: len(raw)], out=self.prefix[1:])
+        np.cumsum((OTHER_VALUE if other else BYTE_VALUE)[raw] * self.power[: len(raw)], out=self.prefix[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
         x = (self.prefix[end] - self.prefix[start]) * self.inverse[start]
@@ -121,6 +121,9 @@ def _sliced(raw: np.ndarray, offsets: np.ndarray):
             yield a, raw[lo:hi], offsets[a : b + 1] - lo, 0
 
 
+_PLACE = "m long, h long, d long, k long, at long"
+
+
 def _minimizers(docs: DataFrame) -> DataFrame:
     """The minimizer of each piece, and 2 if it repeats within, else 1."""
 
@@ -136,7 +139,7 @@ def _minimizers(docs: DataFrame) -> DataFrame:
 
 
 def _places(docs: DataFrame) -> DataFrame:
-    """A row for each piece: m, h, d (the id) and at (its place)."""
+    """A row for each piece: m, h, d (the id), k (the text's hash) and at (its place)."""
 
     def run(batches):
         for batch in batches:
@@ -145,12 +148,12 @@ def _places(docs: DataFrame) -> DataFrame:
             out = []
             for a, part, off, shift in _sliced(raw, offsets):
                 m, own, text, start, size, whole = pieces(part, off)
-                at = ((start - off[text] + shift) << _START) | (keys[a + text] << _TEXT) | (own.astype(np.int64) << _OWN) | (size - 1)
-                out.append((m.view(np.int64), whole.view(np.int64), ids[a + text], at))
+                at = ((start - off[text] + shift) << _START) | (own.astype(np.int64) << _OWN) | (size - 1)
+                out.append((m.view(np.int64), whole.view(np.int64), ids[a + text], keys[a + text], at))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["m", "h", "d", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["m", "h", "d", "k", "at"])
 
-    return docs.select("d", "text", "k").mapInArrow(run, "m long, h long, d long, at long")
+    return docs.select("d", "text", "k").mapInArrow(run, _PLACE)
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -161,17 +164,16 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     no boundary between suffixes tied to it, whichever way they stand.
     """
     n = len(text)
-    zero = text == 0
-    next_zero = np.where(zero, np.arange(n), n)
-    next_zero = np.minimum.accumulate(next_zero[::-1])[::-1]
-    key = np.zeros(n, np.int64)
-    padded = np.concatenate([text.astype(np.int64), np.zeros(7, np.int64)])
+    ends = np.flatnonzero(text == 0)
+    left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)  # symbols before the next 0
+    key = np.zeros(n, np.uint64)
+    padded = np.concatenate([text, np.zeros(7, text.dtype)]).astype(np.uint64)
     for j in range(7):
-        key = (key << 9) | np.where(np.arange(n) + j < next_zero, padded[j : j + n], 0)
-    order = np.argsort(key, kind="stable")
-    ends = (next_zero - np.arange(n) < 7)[order]
+        key = (key << np.uint64(9)) | np.where(left > j, padded[j : j + n], np.uint64(0))
+    order = np.argsort(key)
+    key = key[order]
     start = np.ones(n, bool)
-    start[1:] = (key[order][1:] != key[order][:-1]) | ends[1:]
+    start[1:] = (key[1:] != key[:-1]) | (left[order[1:]] < 7)
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(start, np.arange(n), 0))
     k = 7
@@ -191,25 +193,30 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 def repeated_classes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix order, class of each row): rows of a class share a prefix of at least length symbols."""
-    n = len(text)
+    """(suffix order, class of each row): rows of a class share a prefix of at least length symbols.
+
+    Level l has a boundary between neighbours that share less than l symbols. Neighbours that
+    share l, and whose suffixes s symbols on (s at most l) share l, share l + s; those suffixes'
+    rows are s backward steps of the transform away, so the levels 1, 2, 4, ... and length do.
+    """
     sa = suffix_order(text, length)
-    zeros = int((text == 0).sum())
-    extends = np.argsort(text[sa - 1], kind="stable").astype(np.int32)  # row j's suffix, without its first symbol's match, is row extends[j]
+    step_rows = [np.argsort(text[sa - 1], kind="stable").astype(np.int32)]  # row j's suffix without its first symbol is row [j]
     first = text[sa]
-    bound = np.ones(n, bool)
-    bound[1:] = first[1:] != first[:-1]
-    bound[:zeros] = True
-    j = np.flatnonzero(~bound)
-    here, above = extends[j], extends[j - 1]
-    for _ in range(1, length):
+    bound = np.ones(len(text), bool)
+    bound[1:] = (first[1:] != first[:-1]) | (first[1:] == 0)
+    have = 1
+    while have < length:
+        step = min(have, length - have)
+        while 1 << len(step_rows) <= step:
+            step_rows.append(step_rows[-1][step_rows[-1]])
         level = np.cumsum(bound, dtype=np.int32)
-        parted = level[here] != level[above]
-        if not parted.any():
-            break
-        bound[j[parted]] = True
-        keep = ~parted
-        j, here, above = j[keep], here[keep], above[keep]
+        j = np.flatnonzero(~bound)
+        here, above = j, j - 1
+        for k, rows in enumerate(step_rows):
+            if step >> k & 1:
+                here, above = rows[here], rows[above]
+        bound[j[level[here] != level[above]]] = True
+        have += step
     return sa, np.cumsum(bound)
 
 
@@ -255,12 +262,10 @@ def _cover(parts) -> pa.RecordBatch:
 
 
 def _by_expansion(rows: DataFrame) -> DataFrame:
-    """Covered windows of pieces (m, d, at, bytes), whole minimizer groups at a time."""
+    """Covered windows of pieces (m, d, k, at, bytes), whole minimizer groups at a time."""
 
     def settle(table):
-        at = table["at"].to_numpy()
-        start, key = at >> _START, (at >> _TEXT) & _TEXT_MASK
-        ids = table["d"].to_numpy()
+        start, key, ids = table["at"].to_numpy() >> _START, table["k"].to_numpy(), table["d"].to_numpy()
         owner, offset = covered_windows(table["bytes"].to_pylist(), ids, start)
         owner, first, n = _ranges(owner, offset)
         return _cover((ids[owner], key[owner], start[owner] + first, n))
@@ -283,27 +288,27 @@ def _by_expansion(rows: DataFrame) -> DataFrame:
         if held:
             yield settle(pa.concat_tables(held))
 
+    rows = rows.select("m", "d", "k", "at", "bytes")
     return rows.repartition(shuffle_partitions(rows.sparkSession), "m").sortWithinPartitions("m").mapInArrow(run, _COVER)
 
 
-def _fetched(docs: DataFrame, wanted: DataFrame, run, schema: str) -> DataFrame:
-    """run over (d, k, text, pieces) of the texts that hold wanted pieces."""
-    lists = wanted.withColumn("k", F.shiftright("at", _TEXT).bitwiseAND(F.lit(_TEXT_MASK))).groupBy("d", "k").agg(F.collect_list("at").alias("at"), F.collect_list("m").alias("m"))
-    return docs.select("d", "k", "text").join(lists.hint("shuffle_hash"), ["d", "k"]).select("d", "text", "at", "m").mapInArrow(run, schema)
+def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The wanted pieces with their bytes: (m, d, k, at, bytes)."""
+    lists = wanted.groupBy("d", "k").agg(F.collect_list("at").alias("at"), F.collect_list("m").alias("m"))  # at most a text's pieces
+    return docs.select("d", "k", "text").join(lists.hint("shuffle_hash"), ["d", "k"]).select("d", "k", "text", "at", "m").mapInArrow(_with_bytes, "m long, d long, k long, at long, bytes binary")
 
 
 def _flat(batch):
-    """(raw, offsets, row of each piece, place, minimizer) of a batch of _fetched."""
-    raw, offsets = string_buffers(batch.column(1))
-    at, m = batch.column(2), batch.column(3)
+    """(ids, keys, raw, offsets, row of each piece, place, minimizer) of a batch of _fetched."""
+    raw, offsets = string_buffers(batch.column(2))
+    at, m = batch.column(3), batch.column(4)
     row = np.repeat(np.arange(len(batch)), np.diff(at.offsets.to_numpy()))
-    return raw, offsets, row, at.flatten().to_numpy(), m.flatten().to_numpy()
+    return batch.column(0).to_numpy(), batch.column(1).to_numpy(), raw, offsets, row, at.flatten().to_numpy(), m.flatten().to_numpy()
 
 
 def _with_bytes(batches):
     for batch in batches:
-        raw, offsets, row, at, m = _flat(batch)
-        d = batch.column(0).to_numpy()
+        d, k, raw, offsets, row, at, m = _flat(batch)
         step = 20_000
         for a in range(0, len(row), step):
             r, p = row[a : a + step], at[a : a + step]
@@ -312,96 +317,106 @@ def _with_bytes(batches):
             begin = np.concatenate([[0], np.cumsum(size)])
             taken = raw[np.repeat(lo - begin[:-1], size) + np.arange(begin[-1])]
             out = pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(begin.astype(np.int32)), pa.py_buffer(taken.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(m[a : a + step]), pa.array(d[r]), pa.array(p), out], ["m", "d", "at", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(m[a : a + step]), pa.array(d[r]), pa.array(k[r]), pa.array(p), out], ["m", "d", "k", "at", "bytes"])
 
 
-def _with_windows(batches):
+def _windows_of(batches, step: int = 2048):
+    """Some pieces at a time (m, d, k, at, bytes): the batch, each window's piece, its start in the text, its start in the bytes, the pieces' bytes."""
     for batch in batches:
-        raw, offsets, row, at, _ = _flat(batch)
-        d = batch.column(0).to_numpy()
-        for r in np.unique(row):
-            mine = at[row == r]
-            part = raw[offsets[r] : offsets[r + 1]]
-            start, size = mine >> _START, (mine & 0xFF) + 1
-            for lo in range(0, len(mine), 4096):
-                s, n = start[lo : lo + 4096], size[lo : lo + 4096]
-                w = np.repeat(s - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                base = int(w.min())
-                hashed = Hashed(part[base : int(w.max()) + LENGTH])
-                h = [hashed.of(w - base, w - base + LENGTH, salt) for salt in (0, 0x632BE59BD9B4E019)]
-                k = np.full(len(w), (mine[0] >> _TEXT) & _TEXT_MASK)
-                mid = hashed.of(w - base, w - base + LENGTH // 2, 0x632BE59BD9B4E019)
-                yield pa.RecordBatch.from_arrays([pa.array(h[0].view(np.int64)), pa.array(mid.view(np.int64)), pa.array(np.full(len(w), d[r])), pa.array(k), pa.array(w)], ["h", "g", "d", "k", "first"])
-
-
-def _with_parts(batches):
-    """Hot pieces cut where the minimizer of a window's first FRONT bytes changes: (m, h, d, at) as of _places."""
-    for batch in batches:
-        raw, offsets, row, at, m = _flat(batch)
-        d = batch.column(0).to_numpy()
-        for r in np.unique(row):
-            mine = row == r
-            part = raw[offsets[r] : offsets[r + 1]]
-            start, size, low, outer = at[mine] >> _START, (at[mine] & 0xFF) + 1, at[mine] & ((1 << _START) - 1), m[mine]
-            for a in range(0, len(start), 2048):
-                s, n = start[a : a + 2048], size[a : a + 2048]
-                piece = np.repeat(np.arange(len(s)), n)
-                w = np.repeat(s - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                base = int(w.min())
-                body = part[base : int(w.max()) + LENGTH]
-                hashed = Hashed(body)
-                k = np.arange(len(body) - FRONT_K + 1)
-                least = _window_minimum(hashed.of(k, k + FRONT_K, 0x3C6EF372FE94F82B), FRONT - FRONT_K + 1)[w - base]
-                new = np.ones(len(w), bool)
-                new[1:] = (least[1:] != least[:-1]) | (piece[1:] != piece[:-1])
-                cut = np.flatnonzero(new)
-                count = np.diff(np.append(cut, len(w)))
-                first, p = w[cut], piece[cut]
-                key = mix(outer[a : a + 2048][p].view(np.uint64) ^ (least[cut] * np.uint64(0x9E3779B97F4A7C15)))
-                whole = hashed.of(first - base, first - base + count + LENGTH - 1, 0x2545F4914F6CDD1D) + count.astype(np.uint64)
-                place = (first << _START) | (low[a : a + 2048][p] & ~np.int64(0xFF)) | (count - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(np.full(len(cut), d[r])), pa.array(place)], ["m", "h", "d", "at"])
+        for a in range(0, len(batch), step):
+            part = batch.slice(a, step)
+            n = (part.column(3).to_numpy() & 0xFF) + 1
+            begin = part.column(3).to_numpy() >> _START
+            size = n + LENGTH - 1
+            body = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint8)
+            offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield part, np.repeat(np.arange(len(part)), n), np.repeat(begin, n) + offset, np.repeat(np.cumsum(size) - size, n) + offset, body
+
+
+def _with_windows(batches):
+    for part, piece, w, here, body in _windows_of(batches):
+        h, g = (Hashed(body, other).of(here, here + LENGTH) for other in (False, True))
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), part.column(1).take(pa.array(piece)), part.column(2).take(pa.array(piece)), pa.array(w)], ["h", "g", "d", "k", "first"])
+
+
+def _with_parts(cut: tuple[int, int, int]):
+    """Pieces with bytes cut where the minimizer of a region of the window changes: as of _places, with bytes."""
+    begin, width, gram = cut
+
+    def run(batches):
+        for part, piece, w, here, body in _windows_of(batches):
+            hashed = Hashed(body)
+            i = np.arange(len(body) - gram + 1)
+            least = _window_minimum(hashed.of(i, i + gram, 0x3C6EF372FE94F82B), width - gram + 1)[here + begin]
+            new = np.ones(len(w), bool)
+            new[1:] = (least[1:] != least[:-1]) | (piece[1:] != piece[:-1])
+            first = np.flatnonzero(new)
+            count = np.diff(np.append(first, len(w)))
+            p, here = pa.array(piece[first]), here[first]
+            m, d, k, at = (part.column(c).take(p) for c in range(4))
+            key = mix(m.to_numpy().view(np.uint64) ^ (least[first] * np.uint64(0x9E3779B97F4A7C15)))
+            whole = hashed.of(here, here + count + LENGTH - 1, 0x2545F4914F6CDD1D) + count.astype(np.uint64)
+            place = (w[first] << _START) | (at.to_numpy() & (1 << _OWN)) | (count - 1)
+            size = count + LENGTH - 1
+            taken = body[np.repeat(here - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            bytes_ = pa.Array.from_buffers(pa.binary(), len(p), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(taken.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), d, k, pa.array(place), bytes_], ["m", "h", "d", "k", "at", "bytes"])
+
+    return run
 
 
 def _repeated(docs: DataFrame) -> DataFrame:
     """The pieces whose minimizer occurs more than once."""
-    often = _minimizers(docs).groupBy("m").agg(F.sum("n").alias("_n")).where("_n > 1").select("m")
-    return stash(_places(docs).join(often.hint("shuffle_hash"), "m"), "pieces")
+    often = stash(_minimizers(docs).groupBy("m").agg(F.sum("n").alias("_n")).where("_n > 1").select("m"), "often")
+    release(docs)
+    out = stash(_places(docs).join(often.hint("shuffle_hash"), "m"), "pieces")
+    discard(often)
+    return out
 
 
-def _from_pieces(docs: DataFrame, kept: DataFrame, cut_again: bool) -> DataFrame:
-    """Ranges of covered windows, (d, k, first, n), among the pieces kept (m, h, d, at)."""
-    first = kept.groupBy("m", "h").agg(F.min(F.struct("d", "at")).alias("f"), F.count("*").alias("c"))
-    first = stash(first.select("m", "h", "f.d", "f.at", "c"), "first")
-    release(docs)
+def _grouped(kept: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of stashed pieces (m, h, d, k, at, ...), which go: covered windows of equal ones, first occurrences that share a minimizer or repeat it, and the groups that don't fit."""
+    others = [c for c in kept.columns if c not in ("m", "h", "d", "at")]
+    first = kept.groupBy("m", "h").agg(F.min(F.struct("d", "at", *others)).alias("f"), F.count("*").alias("c"))
+    first = stash(first.select("m", "h", "f.*", "c"), "first")
+    release(kept)
     again = first.where("c > 1").select("m", "h", F.col("d").alias("fd"), F.col("at").alias("fat"))
     place = F.shiftright("at", _START)
     copies = kept.join(again, ["m", "h"]).where((F.col("d") != F.col("fd")) | (place != F.shiftright("fat", _START)))
-    copies = copies.select("d", F.shiftright("at", _TEXT).bitwiseAND(F.lit(_TEXT_MASK)).alias("k"), place.alias("first"), (F.col("at").bitwiseAND(F.lit(0xFF)) + 1).alias("n"))
+    copies = stash(copies.select("d", "k", place.alias("first"), (F.col("at").bitwiseAND(F.lit(0xFF)) + 1).alias("n")), "copies")
+    release(kept)
+    discard(kept)
 
     own = F.shiftright("at", _OWN).bitwiseAND(F.lit(1))
-    groups = first.groupBy("m").agg(F.count("*").alias("_n"), F.max(own).alias("_own")).where("_n > 1 or _own > 0")
-    wanted = first.select("m", "d", "at").join(groups.hint("shuffle_hash"), "m")
-    expanded = _by_expansion(_fetched(docs, wanted.where(F.col("_n") <= HOT_PIECES), _with_bytes, "m long, d long, at long, bytes binary"))
-    out = stash(copies.unionByName(expanded), "covered")
-    release(docs)
-    hot = wanted.where(F.col("_n") > HOT_PIECES)
-    if hot.isEmpty():
-        return out
-    if cut_again:
-        parts = stash(_fetched(docs, hot, _with_parts, "m long, h long, d long, at long"), "parts")
-        return out.unionByName(_from_pieces(docs, parts, False))
-    windows = stash(_fetched(docs, hot, _with_windows, "h long, g long, d long, k long, first long"), "windows")
-    earliest = windows.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("d", "first")).alias("f")).where("c > 1")
-    later = windows.join(earliest, ["h", "g"]).where("d <> f.d or first <> f.first")
-    return out.unionByName(later.select("d", "k", "first", F.lit(1).cast("long").alias("n")))
+    size = F.col("at").bitwiseAND(F.lit(0xFF)) + LENGTH
+    groups = first.groupBy("m").agg(F.count("*").alias("_n"), F.max(own).alias("_own"), F.sum(size).alias("_bytes")).where("_n > 1 or _own > 0")
+    # Written, so that both sides of the join are plain exchanges, of which Spark splits a hot minimizer's.
+    groups = stash(groups.select("m", "_bytes"), "groups")
+    wanted = first.select("m", "d", "at", *others).join(groups.hint("shuffle_hash"), "m")
+    return copies, wanted, groups.where(F.col("_bytes") > GROUP_BYTES)
 
 
 def covered(docs: DataFrame) -> DataFrame:
     """Ranges of covered windows, (d, k, first, n), of docs (d, k, text)."""
+    fits = F.col("_bytes") <= GROUP_BYTES
     kept = _repeated(docs)
     release(docs)
-    return _from_pieces(docs, kept, True)
+    out, wanted, large = _grouped(kept)
+    out = out.unionByName(stash(_by_expansion(_fetched(docs, wanted.where(fits))), "covered"))
+    release(docs)
+    for level, cut in enumerate(CUTS):
+        if large.isEmpty():
+            return out
+        rows = stash(_fetched(docs, wanted.where(~fits)) if not level else wanted.where(~fits).select("m", "d", "k", "at", "bytes"), "large")
+        copies, wanted, large = _grouped(stash(rows.mapInArrow(_with_parts(cut), _PLACE + ", bytes binary"), "parts"))
+        out = out.unionByName(copies).unionByName(stash(_by_expansion(wanted.where(fits)), "covered"))
+        release(docs)
+    if large.isEmpty():
+        return out
+    windows = stash(wanted.where(~fits).select("m", "d", "k", "at", "bytes").mapInArrow(_with_windows, "h long, g long, d long, k long, first long"), "windows")
+    earliest = stash(windows.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("d", "first")).alias("f")).where("c > 1"), "earliest")
+    later = windows.join(earliest, ["h", "g"]).where("d <> f.d or first <> f.first")
+    return out.unionByName(later.select("d", "k", "first", F.lit(1).cast("long").alias("n")))
 
 
 def _settled(raw: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, int]:
@@ -417,7 +432,7 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Each row of docs as (doc_id, n_bytes, n_removed, n_spans, kept_sha256), and the kept bytes if asked for."""
     kind = docs.schema["doc_id"].dataType
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID).cast("long")).alias("d"), F.pmod(F.xxhash64("text"), F.lit(_TEXT_MASK + 1)).cast("long").alias("k"))
+    docs = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID).cast("long")).alias("d"), F.xxhash64("text", F.col("doc_id").isNull()).alias("k"))
     lists = covered(docs).groupBy("d", "k").agg(F.collect_list(F.struct("first", "n")).alias("c"))
     joined = docs.join(lists.hint("shuffle_hash"), ["d", "k"], "left").select("doc_id", "text", F.col("c.first").alias("first"), F.col("c.n").alias("n"))
     fields = [T.StructField("doc_id", kind), *(T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())]
