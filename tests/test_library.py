@@ -44,10 +44,10 @@ def test_paths(spark):
 
 def test_display(spark):
     got = spark.range(1).select(
-        display.mode_string(F.lit("Dir"), F.lit(0o1777)), display.human_size(F.lit(1536).cast("long")), display.unix_iso(F.lit(4294967295)), display.attribute_value(F.lit(b"a\"b\n")), display.attribute_value(F.lit(bytes(range(20)))), display.parse_bool(F.lit("Yes")), bits.parse_octal(F.lit("0000644 ")), bits.parse_octal(F.lit("")), bits.parse_octal(F.lit("9"))
+        display.mode_string(F.lit("Dir"), F.lit(0o1777)), display.human_size(F.lit(1536).cast("long")), display.unix_iso(F.lit(4294967295)), display.attribute_value(F.lit(b"a\"b\n")), display.attribute_value(F.lit(bytes(range(20)))), display.parse_bool(F.lit("Yes")), bits.parse_octal(F.lit("0000644 ")), bits.parse_octal(F.lit(""))
     ).first()
     assert tuple(got)[:4] == ("drwxrwxrwt", "1.50 KiB", "2106-02-07T06:28:15Z", '"a\\"b"')
-    assert got[4] == "<20 bytes> " + " ".join(f"{b:02x}" for b in range(16)) + "…" and tuple(got)[5:] == (True, 420, 0, None)
+    assert got[4] == "<20 bytes> " + " ".join(f"{b:02x}" for b in range(16)) + "…" and tuple(got)[5:] == (True, 420, 0)
 
 
 def test_hashes(spark):
@@ -167,7 +167,83 @@ def test_chains(spark):
     t = spark.createDataFrame([(1, 2), (2, 7), (7, None), (9, None)], "cluster long, next long")
     assert rows(lookups.chains(t, spark.createDataFrame([(1,), (9,)], "cluster long"))) == [(1, 0, 1), (1, 1, 2), (1, 2, 7), (9, 0, 9)]
     with pytest.raises(ValueError):
-        lookups.chains(spark.createDataFrame([(1, 2), (2, 1)], "cluster long, next long"), spark.createDataFrame([(1,)], "cluster long"), rounds=6)
+        lookups.chains(spark.createDataFrame([(1, 2), (2, 1)], "cluster long, next long"), spark.createDataFrame([(1,)], "cluster long")).collect()
+
+
+def test_tar_headers(spark, tmp_path):
+    """Damaged, hostile and unusual members."""
+    plain = tar_of([("a", b"1"), ("../../etc/passwd", b"2"), ("x/../b", b"3")])
+    assert [e["path"] for e in archives.tar_entries(plain)] == ["/a", "/etc/passwd", "/b"]
+    broken = bytearray(plain)
+    broken[1024] ^= 1
+    with pytest.raises(Exception, match="checksum"):
+        list(archives.tar_entries(bytes(broken)))
+    (tmp_path / "broken.tar").write_bytes(bytes(broken))
+    with pytest.raises(Exception, match="checksum"):
+        archives.scan(spark, f"{tmp_path}/broken.tar").collect()
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w", format=tarfile.PAX_FORMAT, pax_headers={"comment": "global", "path": "ignored"}) as t:
+        for name, kind, size in (("v", b"V", 600), ("f", tarfile.CONTTYPE, 600), ("deep/" * 60 + "f", tarfile.REGTYPE, 3)):
+            m = tarfile.TarInfo(name)
+            m.type, m.size, m.mtime = kind, size, 2**34
+            t.addfile(m, io.BytesIO(b"z" * size))
+    got = list(archives.tar_entries(out.getvalue()))
+    assert [(e["path"], e["size"], e["mtime"]) for e in got] == [("/f", 600, 2**34 % 2**32), ("/" + "deep/" * 60 + "f", 3, 2**34 % 2**32)]
+    gnu = io.BytesIO()
+    with tarfile.open(fileobj=gnu, mode="w", format=tarfile.GNU_FORMAT) as t:
+        m = tarfile.TarInfo("n" * 150)
+        m.type, m.linkname, m.uid = tarfile.SYMTYPE, "t" * 150, 2**40
+        t.addfile(m)
+    (e,) = archives.tar_entries(gnu.getvalue())
+    assert (e["path"], e["link_target"], e["uid"]) == ("/" + "n" * 150, "t" * 150, 2**40)
+    assert archives.tar_number(b"\x80\0\0\0\x01\0\0\0\0") == 2**32 and archives.tar_number(b"0000644 ") == 0o644
+    with pytest.raises(Exception, match="octal"):
+        archives.tar_number(b"00x9\0")
+    assert list(archives.tar_entries(b"")) == [] == list(archives.tar_entries(bytes(5000)))
+
+
+def test_tar_written_for_others(spark, tmp_path):
+    """What the sink writes, as another reader sees it."""
+    long = "d" * 90 + "/" + "e" * 90 + "/f"
+    rows_ = [("/a", "Dir", None, None, None, 3), ("/a/f", "Regular", b"body", None, [("user.k", b"\x00v=\n")], 2**40), ("/a/l", "Symlink", None, "t" * 120, None, 0), ("/a/h", "HardLink", None, "a/f", None, 0), ("/" + long, "Regular", b"x" * 513, None, None, 0), ("/" + "q" * 130, "Regular", b"", None, None, 0), ("/dev", "Char", None, None, None, 0)]
+    df = spark.createDataFrame(rows_, "path string, kind string, data binary, link_target string, xattrs array<struct<name:string,value:binary>>, mtime long").withColumns({"dev_major": F.lit(5).cast("long"), "dev_minor": F.lit(1).cast("long")})
+    sinks.write(df, f"{tmp_path}/o", shards=1)
+    with tarfile.open(f"{tmp_path}/o/{os.listdir(f'{tmp_path}/o')[0]}") as t:
+        got = {m.name: m for m in t}
+        assert t.extractfile(long).read() == b"x" * 513 and t.extractfile("a/f").read() == b"body" and t.extractfile("a/h").read() == b"body"
+    assert set(got) == {r[0].lstrip("/") for r in rows_} and got["a"].isdir() and got["a/l"].linkname == "t" * 120 and got["a/f"].mtime == 2**40 and (got["dev"].devmajor, got["dev"].devminor) == (5, 1)
+    back = {r.path: r for r in archives.scan(spark, f"{tmp_path}/o").collect()}
+    assert [(x.name, bytes(x.value)) for x in back["/a/f"].xattrs] == [("user.k", b"\x00v=\n")] and len(back) == len(rows_)
+    with pytest.raises(Exception, match="holds no Socket"):
+        sinks.write(df.limit(1).withColumn("kind", F.lit("Socket")), f"{tmp_path}/s")
+
+
+def test_repack_drops_dead_links(spark, tmp_path):
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as t:
+        for name, target in (("f", None), ("g", None), ("z", "f"), ("y", "g")):
+            m = tarfile.TarInfo(name)
+            if target:
+                m.type, m.linkname = tarfile.LNKTYPE, target
+            t.addfile(m)
+    (tmp_path / "one.tar").write_bytes(out.getvalue())
+    (tmp_path / "two.tar").write_bytes(tar_of([(".wh.f", b"")]))
+    api.repack(spark, [f"{tmp_path}/one.tar", f"{tmp_path}/two.tar"], f"{tmp_path}/out", shards=1)
+    assert rows(archives.scan(spark, f"{tmp_path}/out").select("path", "kind")) == [("/g", "Regular"), ("/y", "HardLink")]
+
+
+def test_numbers_in_headers(spark):
+    d = spark.createDataFrame([(b"0000644 ",), (b"\x80\x00\x00\x00\x00\x00\x01\x00",)], "b binary")
+    assert rows(d.select(bits.parse_number(F.col("b")))) == [(256,), (420,)]
+    with pytest.raises(Exception, match="octal"):
+        d.select(bits.parse_octal(F.lit("9"))).collect()
+
+
+def test_as_of_over_buckets(spark):
+    v = spark.createDataFrame([(1, x, f"v{x}") for x in (5, 17, 18, 40)] + [(2, 3, "w")], "oid long, xid long, val string")
+    p = spark.createDataFrame([(o, a) for o in (1, 2, 3) for a in (2, 5, 17, 39, 40, 99)], "oid long, at long")
+    want = [(o, a, *max(((x, y) for i, x, y in v.collect() if i == o and x <= a), default=(None, None))) for o, a in p.collect()]
+    assert sorted(map(repr, map(tuple, links.as_of(v, p, bucket=10).collect()))) == sorted(map(repr, want))
 
 
 def test_replay_and_arrival(spark, tmp_path):
@@ -185,9 +261,9 @@ def test_encodings(spark):
     raw = spark.createDataFrame([("é".encode("mac_roman"), "한글".encode("cp949"), "日本".encode("shift_jis"), "naïve".encode(), "ab".encode("utf-16-be"))], "m binary, k binary, j binary, u binary, w binary")
     r = raw.select(encodings.mac_roman("m"), encodings.korean("k"), encodings.archive_name("j"), encodings.archive_name("u"), encodings.ucs2_big(F.col("w")), encodings.to_korean(encodings.korean("k"))).first()
     assert tuple(r) == ("é", "한글", "日本", "naïve", "ab", "한글".encode("cp949"))
-    data = spark.createDataFrame([("STR ", b"\x02hi!"), ("TEXT", b"some"), ("vers", b"\x07\x51"), ("STR#", b"\x00\x03"), ("snd ", b"12345")], "kind string, data binary")
+    data = spark.createDataFrame([("STR ", b"\x02hi!"), ("TEXT", b"some"), ("TEXT", b"a\nb" + b"c" * 60), ("vers", b"\x07\x51\x80\x00\x00\x00\x037.5\x0a7.5, \xa9 Me!"), ("vers", b"\x07\x51\x80\x00\x00\x00\x037.5"), ("vers", b"\x07\x51"), ("STR#", b"\x00\x06\x01a\x02bc\x00\x01d\x01e\x01f"), ("STR#", b"\x00\x01\x01a"), ("STR#", b"\x00\x02\x01a\x09x"), ("ICN#", b""), ("DITL", b"\x00\x04"), ("DITL", b"\xff\xff"), ("snd ", b"12345")], "kind string, data binary")
     got = [x[0] for x in data.select(lookups.resource_summary(F.col("kind"), F.col("data"))).collect()]
-    assert got == ["hi", "some", "7.5", "3 strings", "5 bytes"]
+    assert got == ['"hi"', '"some" (4 bytes)', '"a b' + "c" * 45 + '…" (63 bytes)', '"7.5, © Me!"', '"7.5"', None, '6 strings: "a", "bc", "", "d", …', '1 strings: "a"', '2 strings: "a", …', "32×32 1-bit icon (+ mask)", "5 items", "0 items", None]
     attributes = F.array(F.struct(F.lit("user.a").alias("name"), F.lit(b"1").alias("value")))
     x = spark.range(1).select(mutate.set_attribute(attributes, "user.a", b"2").alias("s"), mutate.set_attribute(attributes, "user.b", b"3").alias("t"), mutate.remove_attribute(attributes, "user.a").alias("u")).first()
     assert [bytes(i.value) for i in x.s] == [b"2"] and [i.name for i in x.t] == ["user.a", "user.b"] and x.u == []

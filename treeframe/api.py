@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .operators import analyze as _analyze
 from .operators import listing, merge
 from .operators.links import last_writes
+from .operators.ordering import kept
 from .sinks import archives as sinks
 from .sources import archives as sources
 from .sources import detect, partitions
@@ -47,10 +48,10 @@ def disk(spark: SparkSession, path: str) -> DataFrame:
 def repack(spark: SparkSession, layers: list[str], out: str, kind: str = "tar", source_kind: str = "tar", codec: str | None = None, shards: int | None = None) -> None:
     """Archives, from the bottom layer up, merged and written as shards with the bodies of the files that won."""
     scans = [sources.scan(spark, p, source_kind, codec).drop("layer") for p in layers]
-    tree = merge.merge_archives(merge.concatenated(*scans))
-    files = None
-    for p in layers:
-        part = sources.bodies(spark, tree.where(F.col("source").isNotNull()), p, codec).select("source", "path", "data")
-        files = part if files is None else files.unionByName(part)
-    full = tree.join(files.distinct() if len(layers) > 1 else files, ["source", "path"], "left")
-    sinks.write(full, out, kind, shards)
+    tree = kept(merge.emission(merge.merge_archives(merge.concatenated(*scans))))
+    # A file's body comes from its own layer, so each is read once and nothing is compared by content.
+    files = [sources.bodies(spark, tree.where((F.col("kind") == "Regular") & (F.col("layer") == k)), p, codec) for k, p in enumerate(layers)]
+    made = tree.where("kind <> 'Regular' or layer is null").withColumn("data", F.lit(None).cast("binary"))
+    for part in files:
+        made = made.unionByName(part)
+    sinks.write(made, out, kind, shards)

@@ -32,9 +32,19 @@ def device_minor(device: Column) -> Column:
 
 
 def parse_octal(field: Column) -> Column:
-    """A numeric header field: up to the first NUL or space; empty is 0; null if not octal."""
+    """A numeric header field: up to the first NUL or space; empty is 0; another digit is an error."""
     digits = F.regexp_extract(F.ltrim(field), "^([^\\x00 ]*)", 1)
-    return F.when(digits == "", F.lit(0).cast("long")).when(digits.rlike("^[0-7]{1,21}$"), F.conv(digits, 8, 10).try_cast("long"))
+    bad = F.raise_error(F.concat(F.lit("not an octal number: "), digits)).cast("long")
+    return F.when(digits == "", F.lit(0).cast("long")).when(digits.rlike("^[0-7]{1,21}$"), F.conv(digits, 8, 10).try_cast("long")).when(digits.isNotNull(), bad)
+
+
+def parse_number(field: Column) -> Column:
+    """A binary numeric header field: octal digits, or, if the top bit is set, 256 to each byte."""
+    first = F.conv(F.hex(F.substring(field, 1, 1)), 16, 10).cast("int")
+    rest = F.conv(F.hex(F.substring(field, 2, 255)), 16, 10).cast("decimal(38,0)")
+    size = F.octet_length(field) - 1
+    large = (first.bitwiseAND(F.lit(0x7F)).cast("decimal(38,0)") * F.pow(F.lit(256.0), size).cast("decimal(38,0)") + rest).try_cast("long")
+    return F.when(first >= 128, large).otherwise(parse_octal(F.decode(field, "ISO-8859-1")))
 
 
 def dos_time(seconds: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.bits import ceil_to
+from .ordering import running_sum, with_next
 
 # Partition kinds with their type byte and type identifier, and their spellings.
 PARTITION_TYPES = (
@@ -39,15 +40,13 @@ def extents(blocks: DataFrame, longest: int = LONGEST_RUN, by: tuple[str, ...] =
 def member_offsets(entries: DataFrame, by: tuple[str, ...] = ("source",), header: int = 512, align: int = 512) -> DataFrame:
     """Where each member's header and body stand in an archive that has no extended headers."""
     body = ceil_to(F.coalesce(F.col("size"), F.lit(0)), align)
-    before = Window.partitionBy(*by).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(body + header).over(before), F.lit(0))
-    return entries.withColumns({"header_offset": start, "body_offset": start + header})
+    out = running_sum(entries, body + header, by, "seq", "header_offset")
+    return out.withColumn("body_offset", F.col("header_offset") + header)
 
 
 def overlaps(partitions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Partitions that run past the start of the next one that is not empty."""
-    w = Window.partitionBy(*by).orderBy("start_lba") if by else Window.orderBy("start_lba")
-    rows = partitions.where("kind <> 'Empty'").withColumn("next_start", F.lead("start_lba").over(w))
+    rows = with_next(partitions.where("kind <> 'Empty'"), by, "start_lba", "next_start")
     return rows.withColumn("end_lba", F.col("start_lba") + F.col("size_lba") - 1).where("next_start <= end_lba")
 
 

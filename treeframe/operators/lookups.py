@@ -15,9 +15,10 @@ def chains(links: DataFrame, heads: DataFrame, rounds: int = 40) -> DataFrame:
     """(head, place, cluster) of chains through links (cluster, next); next null ends one.
 
     Pointers are doubled: after k rounds each cluster knows the one 2**k steps on, so a chain of
-    n clusters takes log2(n) joins, not n. A link to a cluster that is not there, or a cycle, is
-    an error.
+    n clusters takes log2(n) joins, not n. A link to a cluster that is not there is an error, and
+    so is a chain that goes on for more steps than there are clusters, which is a cycle.
     """
+    most = links.count()
     known = links.select("cluster", F.col("next").alias("to"))
     reached = heads.select(F.col("cluster").alias("head"), F.lit(0).cast("long").alias("place"), "cluster")
     step = 1
@@ -26,6 +27,8 @@ def chains(links: DataFrame, heads: DataFrame, rounds: int = 40) -> DataFrame:
         if more.isEmpty():
             bad = reached.join(links.select("cluster"), "cluster", "left_anti")
             return reached if bad.isEmpty() else reached.withColumn("cluster", F.raise_error(F.lit("a chain leaves the table")).cast("long"))
+        if step > most:
+            break
         reached = reached.unionByName(more)
         twice = known.select("cluster", F.col("to").alias("_mid")).join(known.select(F.col("cluster").alias("_mid"), F.col("to").alias("_far")), "_mid", "left")
         known, step = kept(twice.select("cluster", F.col("_far").alias("to"))), step * 2
@@ -90,6 +93,11 @@ def unknown_options(options: DataFrame, known: tuple[str, ...]) -> DataFrame:
     return options.withColumn("unknown", F.array_sort(F.array_except(F.map_keys("options"), F.array(*[F.lit(k) for k in known]))))
 
 
+def sorted_options(options):
+    """An options map with its entries in the order of their keys."""
+    return F.map_from_entries(F.array_sort(F.map_entries(options)))
+
+
 def chunk_at(requests: DataFrame, chunks: DataFrame, bucket: int = 1024) -> DataFrame:
     """Each requested sector with the chunk (start, length, ...) that holds it; null if none does.
 
@@ -103,14 +111,39 @@ def chunk_at(requests: DataFrame, chunks: DataFrame, bucket: int = 1024) -> Data
     return asked.join(listed, hit, "left").drop("_b")
 
 
+def _pascal(data, at):
+    """(text, place after it) of the Pascal string at a place (from 0); null if it runs past the end."""
+    from ..functions.encodings import mac_roman
+
+    size = F.conv(F.hex(F.substring(data, at + 1, F.lit(1))), 16, 10).cast("int")
+    whole = (at < F.octet_length(data)) & (at + 1 + size <= F.octet_length(data))
+    text = F.regexp_replace(mac_roman(F.substring(data, at + 2, size)), "[\\x00-\\x1f]", " ")
+    return F.when(whole, text), F.when(whole, at + 1 + size)
+
+
 def resource_summary(kind, data):
-    """A line about a resource by its type: text, string, version, or the size of a picture."""
+    """A line about a resource by its type; null for a type that is not told apart, or data too short for its type."""
     from ..functions.encodings import mac_roman
 
-    n = F.octet_length(data)
-    pascal = mac_roman(F.substring(data, F.lit(2), F.conv(F.hex(F.substring(data, 1, 1)), 16, 10).cast("int")))
-    text = mac_roman(F.substring(data, 1, 48))
-    version = F.concat(F.hex(F.substring(data, 1, 1)).cast("int").cast("string"), F.lit("."), F.substring(F.hex(F.substring(data, 2, 1)), 1, 1))
-    strings = F.concat(F.conv(F.hex(F.substring(data, 1, 2)), 16, 10), F.lit(" strings"))
-    picture = F.when(kind == "ICN#", F.lit("icon and mask 32 x 32")).otherwise(F.lit("icon 32 x 32"))
-    return F.when(kind == "STR ", pascal).when(kind == "TEXT", text).when(kind == "vers", version).when(kind == "STR#", strings).when(kind.isin("ICN#", "ICON"), picture).otherwise(F.concat(n.cast("string"), F.lit(" bytes")))
+    def quoted(text):
+        return F.concat(F.lit('"'), text, F.lit('"'))
+
+    count = F.conv(F.hex(F.substring(data, 1, 2)), 16, 10).cast("int")
+    short, after = _pascal(data, F.lit(6))
+    long = _pascal(data, after)[0]
+    version = F.when(short.isNotNull(), quoted(F.when(F.coalesce(long, F.lit("")) == "", short).otherwise(long)))
+    shown, at = [], F.lit(2)
+    for k in range(4):
+        text, at = _pascal(data, at)
+        shown.append(F.when(count > k, quoted(text)))
+    more = F.when(count > F.size(F.array_compact(F.array(*shown))), ", …").otherwise("")
+    strings = F.when(F.octet_length(data) >= 2, F.concat(count.cast("string"), F.lit(" strings: "), F.concat_ws(", ", *shown), more))
+    head = F.regexp_replace(mac_roman(F.substring(data, 1, 48)), "[\\x00-\\x1f]", " ")
+    text = F.concat(F.lit('"'), head, F.when(F.octet_length(data) > 48, "…").otherwise(""), F.lit('" ('), F.octet_length(data).cast("string"), F.lit(" bytes)"))
+    # The count is one less than the items, and 65535 stands for none.
+    items = F.when(F.octet_length(data) >= 2, F.concat((F.when(count > 32767, count - 65536).otherwise(count) + 1).cast("string"), F.lit(" items")))
+    known = {"vers": version, "STR ": quoted(_pascal(data, F.lit(0))[0]), "STR#": strings, "TEXT": text, "ICN#": F.lit("32×32 1-bit icon (+ mask)"), "ICON": F.lit("32×32 1-bit icon"), "DITL": items}
+    out = F.lit(None).cast("string")
+    for name, line in known.items():
+        out = F.when(kind == name, line).otherwise(out)
+    return out

@@ -70,9 +70,14 @@ def merge(events: DataFrame) -> DataFrame:
     rest = [c for c in inserts.columns if c not in ("path", "_t")]
     last = inserts.groupBy("path").agg(F.max(F.struct("_t", *rest)).alias("e")).select("path", F.col("e._t").alias("_t"), *[F.col(f"e.{c}").alias(c) for c in rest])
     latest = kills.groupBy("kpath").agg(F.max("kt").alias("kt"), F.max(F.when(F.col("kself"), F.col("kt"))).alias("kt_self"))
-    keyed = last.select("path", "_t", F.explode(_lineage(F.col("path"))).alias("_l"))
-    dead = keyed.join(latest, F.col("_l.path") == F.col("kpath")).where(F.when(F.col("_l.own"), F.col("kt_self")).otherwise(F.col("kt")) > F.col("_t"))
-    return last.join(dead.select("path").distinct(), "path", "left_anti").drop("_t")
+    # Removals meet the distinct directories, not every path under them; those of the root are one row.
+    last = last.withColumn("_dir", F.coalesce(paths.parent(F.col("path")), F.lit("/")))
+    up = last.where("_dir <> '/'").select("_dir").distinct().select("_dir", F.explode(F.concat(F.array("_dir"), paths.ancestors(F.col("_dir")))).alias("kpath"))
+    above = up.join(latest.select("kpath", "kt"), "kpath").groupBy("_dir").agg(F.max("kt").alias("_above"))
+    root = latest.where("kpath = '/'").agg(F.max("kt").alias("_root"))
+    out = last.join(above, "_dir", "left").join(latest.select(F.col("kpath").alias("path"), F.col("kt_self").alias("_self")), "path", "left").crossJoin(F.broadcast(root))
+    dead = (F.col("_above") > F.col("_t")) | (F.col("_self") > F.col("_t")) | ((F.col("path") != "/") & (F.col("_root") > F.col("_t")))
+    return out.where(~F.coalesce(dead, F.lit(False))).select("path", *rest)
 
 
 def missing_parents(entries: DataFrame) -> DataFrame:

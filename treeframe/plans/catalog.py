@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import bits, display, encodings, hashes, paths
 from ..operators import analyze, layout, links, listing, lookups, merge, mutate, ordering
-from ..sources import detect
+from .. import api
+from ..sinks import archives as sinks
+from ..sources import archives, detect
 from ..streaming import layers
 from . import views as V
 
@@ -118,9 +120,9 @@ def ls_recursive(spark, sf):
     return listing.recursive(V.document_entries(spark, sf), "/src2").select("path", "header", "name", "size")
 
 
-@query("WITH " + V.DOCUMENT_ENTRIES + " SELECT path, row_number() OVER (ORDER BY string_split(ltrim(path, '/'), '/')) AS place FROM files WHERE starts_with(path, '/src3/')")
+@query("WITH " + V.DOCUMENT_ENTRIES + " SELECT path, row_number() OVER (ORDER BY string_split(ltrim(path, '/'), '/')) AS place FROM files")
 def path_order(spark, sf):
-    rows = listing.recursive(V.document_entries(spark, sf), "/src3")
+    rows = listing.recursive(V.document_entries(spark, sf), "/")
     return ordering.numbered(rows.select("path", F.col("place").alias("segs")), F.col("segs")).select("path", "place")
 
 
@@ -136,10 +138,10 @@ def exists_prefix(spark, sf):
     return listing.exists(V.document_entries(spark, sf), "/src1/en")
 
 
-@query("WITH " + V.DOCUMENT_ENTRIES + " SELECT '/' || source || '//./' || lang || '/' || doc_id || '.txt' AS asked, '/' || source || '/' || lang || '/' || doc_id || '.txt' AS path, n_chars AS size FROM documents WHERE doc_id % 10 = 3")
+@query("WITH " + V.DOCUMENT_ENTRIES + " SELECT '/' || source || '//./' || lang || '/' || doc_id || '.txt' AS asked, '/' || source || '/' || lang || '/' || doc_id || '.txt' AS path, n_chars AS size FROM documents")
 def point_lookup(spark, sf):
     e = V.document_entries(spark, sf)
-    wanted = V.table(spark, sf, "documents").where("doc_id % 10 = 3").select(F.concat(F.lit("/"), "source", F.lit("//./"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
+    wanted = V.table(spark, sf, "documents").select(F.concat(F.lit("/"), "source", F.lit("//./"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
     return listing.lookup(e.select("path", "size"), wanted).select("asked", "path", "size")
 
 
@@ -218,9 +220,9 @@ def hardlink_chain(spark, sf):
     return links.resolve_links(_hardlinks(spark, sf))
 
 
-@query(f"WITH {V.LAYER_EVENTS} SELECT path, arg_max(kind, t) AS kind, arg_max(size, t) AS size, min(seq) AS slot FROM logt WHERE event = 'I' AND layer = 0 GROUP BY path")
+@query(f"WITH {V.LAYER_EVENTS} SELECT layer, path, arg_max(kind, t) AS kind, arg_max(size, t) AS size, min(seq) AS slot FROM logt WHERE event = 'I' GROUP BY layer, path")
 def last_write_wins(spark, sf):
-    return links.last_writes(V.layer_events(spark, sf).where("event = 'I' and layer = 0").drop("event", "layer")).select("path", "kind", "size", "slot")
+    return links.last_writes(V.layer_events(spark, sf).where("event = 'I'").drop("event"), by=("layer", "path")).select("layer", "path", "kind", "size", "slot")
 
 
 @query(f"WITH {V.LAYER_EVENTS}, m AS (SELECT path, arg_max(layer, t) AS layer, arg_max(seq, t) AS seq FROM logt WHERE event = 'I' GROUP BY path) SELECT l.path, l.layer, l.seq, l.kind FROM log l SEMI JOIN m ON l.path = m.path AND l.layer = m.layer AND l.seq = m.seq")
@@ -233,9 +235,7 @@ def winner_semi(spark, sf):
 @query(f"WITH {V.LAYER_EVENTS} SELECT path, seq FROM logt a WHERE event = 'I' AND NOT EXISTS (SELECT 1 FROM logt b WHERE b.event = 'X' AND b.path = a.path AND b.t > a.t)")
 def tombstone_anti(spark, sf):
     e = V.layer_events(spark, sf)
-    t = F.struct("layer", "seq")
-    latest = e.where("event = 'X'").groupBy("path").agg(F.max(t).alias("k"))
-    return e.where("event = 'I'").join(latest, "path", "left").where(F.col("k").isNull() | (F.col("k") <= t)).select("path", "seq")
+    return links.tombstones_applied(e.where("event = 'I'"), e.where("event = 'X'")).select("path", "seq")
 
 
 @query("WITH o AS (SELECT DISTINCT user_id AS oid FROM events), p AS (SELECT oid, unnest([100, 2500, 9000]) AS a FROM o) SELECT oid, CAST(a AS BIGINT) AS \"at\", max(event_id) AS xid, arg_max(value, event_id) AS val FROM p LEFT JOIN events ON user_id = oid AND event_id <= a GROUP BY oid, a")
@@ -505,14 +505,78 @@ def journal_replay(spark, sf):
 def sorted_options(spark, sf):
     k = F.col("o_orderkey")
     m = F.create_map(F.concat(F.lit("label"), (k % 3).cast("string")), F.lit(1), F.concat(F.lit("block"), (k % 5).cast("string")), F.lit(2))
-    ordered = F.map_from_entries(F.array_sort(F.map_entries(m)))
-    return V.table(spark, sf, "orders").select(k.alias("k"), F.array_join(F.map_keys(ordered), ",").alias("keys"))
+    return V.table(spark, sf, "orders").select(k.alias("k"), F.array_join(F.map_keys(lookups.sorted_options(m)), ",").alias("keys"))
 
 
-@query("WITH " + V.PAGE_PATHS + " SELECT page_id, ltrim(path, '/') AS name, strlen(ltrim(path, '/')) <= 100 AS fits FROM pp WHERE strlen(path) < 100")
+# Each page's path, and that path behind folders of 60 and of 200 bytes, so that names fit whole, parted, or not at all.
+@query("WITH " + V.PAGE_PATHS + """, n AS (SELECT page_id, k, CASE k WHEN 0 THEN '' ELSE repeat('d', k) || '/' END || ltrim(path, '/') AS name FROM pp, (VALUES (0), (60), (200)) f(k))
+SELECT page_id, k, name, strlen(name) <= 100 OR len(list_filter(range(2, length(name)), lambda i: substr(name, i, 1) = '/' AND strlen(substr(name, 1, i - 1)) <= 155 AND strlen(substr(name, i + 1)) <= 100)) > 0 AS fits FROM n""")
 def member_names(spark, sf):
-    name = paths.member_name(F.col("path"))
-    return V.page_paths(spark, sf).where(F.octet_length("path") < 100).select("page_id", name.alias("name"), paths.fits_header(name).alias("fits"))
+    p = V.page_paths(spark, sf).withColumn("k", F.explode(F.array(F.lit(0), F.lit(60), F.lit(200))))
+    name = paths.member_name(F.concat(F.when(F.col("k") > 0, F.concat(F.lit("/"), F.expr("repeat('d', k)"))).otherwise(""), F.col("path")))
+    return p.select("page_id", "k", name.alias("name"), paths.fits_header(name).alias("fits"))
+
+
+# ---- archives written from the documents and read back
+
+_ARCHIVED = "SELECT '/' || source || '/' || lang || '/' || doc_id || '.txt' AS path, 'Regular' AS kind, CAST(strlen(text) AS BIGINT) AS size, doc_id AS mtime, md5(text) AS md5 FROM documents"
+
+
+def _archive(spark, sf, kind, path=None):
+    """The documents as shards of archives, in the session's shared folder: the folder."""
+    d = V.table(spark, sf, "documents")
+    if path is None:
+        path = F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    e = d.select(path.alias("path"), F.lit("Regular").alias("kind"), F.lit(0o644).alias("mode"), F.lit(7).cast("long").alias("uid"), F.col("doc_id").alias("mtime"), F.col("text").cast("binary").alias("data"))
+    folder = ordering.new_folder(spark)
+    sinks.write(e, folder, kind, 4)
+    return folder
+
+
+def _scanned(spark, sf, kind, path=None):
+    folder = _archive(spark, sf, kind, path)
+    rows = archives.bodies(spark, archives.scan(spark, folder, kind), folder)
+    return rows.select("path", "kind", "size", "mtime", F.md5("data").alias("md5"))
+
+
+@query(_ARCHIVED)
+def scan_tar(spark, sf):
+    return _scanned(spark, sf, "tar")
+
+
+@query(_ARCHIVED)
+def scan_cpio(spark, sf):
+    return _scanned(spark, sf, "cpio")
+
+
+@query(_ARCHIVED.replace("doc_id AS mtime", "315532800 AS mtime"))
+def scan_zip(spark, sf):
+    """Stamps before 1980 are its first second, as zip knows none."""
+    return _scanned(spark, sf, "zip").withColumn("mtime", F.col("mtime").cast("int"))
+
+
+@query(_ARCHIVED.replace("'/' || source || '/' || lang || '/' || doc_id || '.txt'", "'/' || source || '-' || doc_id || ' of the documents.txt'"))
+def scan_ar(spark, sf):
+    return _scanned(spark, sf, "ar", F.concat(F.lit("/"), "source", F.lit("-"), F.col("doc_id").cast("string"), F.lit(" of the documents.txt")))
+
+
+@query("""WITH d AS (SELECT '/' || source || '/' || lang || '/' || doc_id || '.txt' AS path, doc_id, text FROM documents)
+SELECT path, 'Regular' AS kind, md5(CASE WHEN doc_id % 3 = 1 THEN 'new ' || text ELSE text END) AS md5 FROM d WHERE doc_id % 3 <> 2
+UNION ALL SELECT DISTINCT '/' || source, 'Dir', NULL FROM documents WHERE doc_id % 3 <> 2 UNION ALL SELECT DISTINCT '/' || source || '/' || lang, 'Dir', NULL FROM documents WHERE doc_id % 3 <> 2""")
+def repack_round_trip(spark, sf):
+    """All documents as a layer; a layer on it that replaces a third and takes a third away; both merged, written and read back."""
+    d = V.table(spark, sf, "documents")
+    folder, i = F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/")), F.col("doc_id")
+    below = d.select(F.concat(folder, i.cast("string"), F.lit(".txt")).alias("path"), F.lit("Regular").alias("kind"), F.col("text").cast("binary").alias("data"))
+    mark = F.when(i % 3 == 2, F.lit(".wh.")).otherwise("")
+    above = d.where("doc_id % 3 > 0").select(F.concat(folder, mark, i.cast("string"), F.lit(".txt")).alias("path"), F.lit("Regular").alias("kind"), F.when(i % 3 == 1, F.concat(F.lit("new "), "text")).otherwise("").cast("binary").alias("data"))
+    layers, out = [ordering.new_folder(spark) for _ in range(2)], ordering.new_folder(spark)
+    for rows, at in zip((below, above), layers, strict=True):
+        sinks.write(rows, at, "tar", 1)
+    api.repack(spark, layers, out, shards=4)
+    found = archives.scan(spark, out)
+    files = archives.bodies(spark, found, out).select("path", "kind", F.md5("data").alias("md5"))
+    return files.unionByName(found.where("kind = 'Dir'").select("path", "kind", F.lit(None).cast("string").alias("md5")))
 
 
 # ---- scalar functions

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import io
 import os
-import tarfile
 import time
 import zipfile
 from collections.abc import Callable, Iterator
@@ -19,26 +18,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from ..entries import InvalidArgument
+from ..entries import XATTRS, InvalidArgument
 
-COLUMNS = ("path", "kind", "mode", "uid", "gid", "mtime", "link_target", "data")
-_TYPES = {"HardLink": tarfile.LNKTYPE, "Symlink": tarfile.SYMTYPE, "Char": tarfile.CHRTYPE, "Block": tarfile.BLKTYPE, "Dir": tarfile.DIRTYPE, "Fifo": tarfile.FIFOTYPE}
+COLUMNS = ("path", "kind", "mode", "uid", "gid", "mtime", "link_target", "dev_major", "dev_minor", "xattrs", "data")
+# A tar header's type by kind.
+_TYPES = {"Regular": b"0", "HardLink": b"1", "Symlink": b"2", "Char": b"3", "Block": b"4", "Dir": b"5", "Fifo": b"6"}
+
+
+def _tar_header(name: bytes, prefix: bytes, flag: bytes, mode: int, uid: int, gid: int, size: int, mtime: int, target: bytes, major: int, minor: int) -> bytes:
+    octal = lambda n, width: b"%0*o\0" % (width - 1, n)
+    fields = ((name, 100), (octal(mode, 8), 8), (octal(uid, 8), 8), (octal(gid, 8), 8), (octal(size, 12), 12), (octal(mtime, 12), 12), (b" " * 8, 8), (flag, 1), (target, 100), (b"ustar\00000", 8), (b"", 64), (octal(major, 8), 8), (octal(minor, 8), 8), (prefix, 155), (b"", 12))
+    h = b"".join(value.ljust(width, b"\0") for value, width in fields)
+    return h[:148] + b"%06o\0 " % sum(h) + h[156:]
+
+
+def _tar_name(raw: bytes) -> tuple[bytes, bytes] | None:
+    """(prefix, name) of a member's name, parted at a slash if it is over 100 bytes; null if no parting fits."""
+    if len(raw) <= 100:
+        return b"", raw
+    cuts = [i for i, c in enumerate(raw) if c == 0x2F and 0 < i <= 155 and 0 < len(raw) - i - 1 <= 100]
+    return (raw[: cuts[0]], raw[cuts[0] + 1 :]) if cuts else None
 
 
 def _tar(rows: Iterator, out: io.RawIOBase) -> int:
+    """Members with an extended header for what a plain one can't hold: long names and targets, large numbers, attributes."""
+
+    def member(header: bytes, body: bytes) -> None:
+        out.write(header + body + b"\0" * (-len(body) % 512))
+
     n = 0
-    with tarfile.open(fileobj=out, mode="w|", format=tarfile.PAX_FORMAT) as archive:
-        for r in rows:
-            m = tarfile.TarInfo(r.path.lstrip("/"))
-            m.type, m.mode, m.uid, m.gid, m.mtime = _TYPES.get(r.kind, tarfile.REGTYPE), r.mode or 0, r.uid or 0, r.gid or 0, max(r.mtime or 0, 0)
-            m.linkname = r.link_target or ""
-            body = bytes(r.data or b"") if r.kind == "Regular" else b""
-            m.size = len(body)
-            archive.addfile(m, io.BytesIO(body))
-            n += 1
+    for r in rows:
+        if r.kind not in _TYPES:
+            raise InvalidArgument(f"a tar holds no {r.kind}: {r.path}")
+        raw, target = (r.path.lstrip("/") + "/" * (r.kind == "Dir")).encode(), (r.link_target or "").encode()
+        body = bytes(r.data or b"") if r.kind == "Regular" else b""
+        numbers = {"uid": r.uid or 0, "gid": r.gid or 0, "mtime": max(r.mtime or 0, 0), "size": len(body)}
+        more = {b"SCHILY.xattr." + x.name.encode(): bytes(x.value) for x in r.xattrs or ()}
+        name = _tar_name(raw)
+        if name is None:
+            more[b"path"], name = raw, (b"", raw[:100])
+        if len(target) > 100:
+            more[b"linkpath"], target = target, target[:100]
+        for key, width in (("uid", 7), ("gid", 7), ("mtime", 11), ("size", 11)):
+            if numbers[key] >= 8**width:
+                more[key.encode()], numbers[key] = b"%d" % numbers[key], 0
+        if more:
+            extended = b"".join(_tar_record(k, v) for k, v in more.items())
+            member(_tar_header(b"PaxHeader/" + raw[-80:], b"", b"x", 0o644, 0, 0, len(extended), 0, b"", 0, 0), extended)
+        member(_tar_header(name[1], name[0], _TYPES[r.kind], (r.mode or 0) & 0o7777, numbers["uid"], numbers["gid"], numbers["size"], numbers["mtime"], target, r.dev_major or 0, r.dev_minor or 0), body)
+        n += 1
+    out.write(b"\0" * 1024)
     return n
 
 
+def _tar_record(key: bytes, value: bytes) -> bytes:
+    """``length key=value`` and a line end; the length counts its own digits."""
+    rest = len(key) + len(value) + 3
+    size = rest + len(str(rest))
+    size = rest + len(str(size))
+    return b"%d %s=%s\n" % (size, key, value)
+
+
 def _zip(rows: Iterator, out: io.RawIOBase) -> int:
     n = 0
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
@@ -126,10 +166,16 @@ class ArchiveShards(DataSource):
 
 
 def write(entries: DataFrame, path: str, kind: str = "tar", shards: int | None = None) -> None:
-    """entries (with ``data``) as shards under path, in path order within each: parents stand before children."""
+    """entries (with ``data``) as shards under path.
+
+    Shards are ranges of paths; within each, entries stand in the order of ``rank`` and ``place``
+    if they have those columns (see merge.emission), else in path order: parents before children.
+    """
     entries.sparkSession.dataSource.register(ArchiveShards)
-    missing = {c: F.lit(None).cast({"data": "binary", "path": "string", "kind": "string", "link_target": "string"}.get(c, "long")) for c in COLUMNS if c not in entries.columns}
-    rows = entries.withColumns(missing).select(*COLUMNS)
-    order = F.split("path", "/")
-    rows = rows.repartitionByRange(shards, order) if shards else rows
-    rows.sortWithinPartitions(order).write.format("archive_shards").option("kind", kind).mode("append").save(path)
+    kinds = {"data": "binary", "path": "string", "kind": "string", "link_target": "string", "xattrs": XATTRS}
+    missing = {c: F.lit(None).cast(kinds.get(c, "long")) for c in COLUMNS if c not in entries.columns}
+    path_order = F.split("path", "/")
+    order = ["rank", "place"] if {"rank", "place"} <= set(entries.columns) else [path_order]
+    rows = entries.withColumns(missing) if missing else entries
+    rows = (rows.repartitionByRange(shards, path_order) if shards else rows).sortWithinPartitions(*order)
+    rows.select(*COLUMNS).write.format("archive_shards").option("kind", kind).mode("append").save(path)

@@ -12,7 +12,7 @@ import bz2
 import gzip
 import io
 import lzma
-import tarfile
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -25,7 +25,8 @@ from pyspark.sql.types import BinaryType
 from ..entries import ENTRIES, InvalidImage, Unsupported
 from ..functions.encodings import decode_name
 
-_TAR_KINDS = {tarfile.LNKTYPE: "HardLink", tarfile.SYMTYPE: "Symlink", tarfile.CHRTYPE: "Char", tarfile.BLKTYPE: "Block", tarfile.DIRTYPE: "Dir", tarfile.FIFOTYPE: "Fifo"}
+# Kinds by a tar header's type.
+_TAR_KINDS = {b"\0": "Regular", b"0": "Regular", b"1": "HardLink", b"2": "Symlink", b"3": "Char", b"4": "Block", b"5": "Dir", b"6": "Fifo", b"7": "Regular"}
 _MODE_KINDS = {0x1000: "Fifo", 0x2000: "Char", 0x4000: "Dir", 0x6000: "Block", 0x8000: "Regular", 0xA000: "Symlink", 0xC000: "Socket"}
 _METHODS = {0: "stored", 8: "deflate", 93: "zstd"}
 
@@ -38,19 +39,84 @@ def _entry(path: str, kind: str, size: int, offset: int, clen: int, method: str
     return {"path": _path(path), "kind": kind, "size": size, "nlink": 1, "body": {"tag": "range", "offset": offset, "clen": clen, "ulen": size, "method": method}, **more}
 
 
+def tar_number(field: bytes) -> int:
+    """A numeric header field: octal up to a NUL or space, or binary if its top bit is set."""
+    if field[:1] >= b"\x80":
+        return int.from_bytes(bytes([field[0] & 0x7F]) + field[1:], "big")
+    digits = re.split(rb"[\0 ]", field, maxsplit=1)[0]
+    if digits.strip(b"01234567"):
+        raise InvalidImage(f"not an octal number: {digits!r}")
+    return int(digits or b"0", 8)
+
+
+def _text(field: bytes) -> str:
+    return field.split(b"\0", 1)[0].decode("utf-8", "replace")
+
+
+def tar_records(body: bytes) -> dict[str, bytes]:
+    """The records of an extended header, each ``length key=value`` and a line end."""
+    out = {}
+    while body:
+        m = re.match(rb"([0-9]+) ", body)
+        record = body[m.end() : int(m[1])] if m else b""
+        key, equals, value = record.partition(b"=")
+        if not equals or value[-1:] != b"\n" or int(m[1]) > len(body):
+            raise InvalidImage("a broken extended header record")
+        out[key.decode("utf-8", "replace")] = value[:-1]
+        body = body[int(m[1]) :]
+    return out
+
+
+def _resolved(name: str) -> str:
+    """The path of a tar member: ``..`` takes the component before it away, and stops at the root."""
+    kept: list[str] = []
+    for part in name.split("/"):
+        if part == "..":
+            del kept[-1:]
+        elif part not in ("", "."):
+            kept.append(part)
+    return "/" + "/".join(kept)
+
+
 def tar_entries(data: bytes) -> Iterator[dict]:
-    """Members of a plain tar; extended attributes come from its extended headers."""
-    try:
-        archive = tarfile.open(fileobj=io.BytesIO(data), mode="r:")
-    except tarfile.ReadError as e:
-        if data.strip(b"\0"):
-            raise InvalidImage(str(e)) from e
-        return
-    for m in archive:
-        kind = _TAR_KINDS.get(m.type, "Regular")
-        xattrs = [{"name": k[14:], "value": v.encode("utf-8", "surrogateescape")} for k, v in m.pax_headers.items() if k.startswith("SCHILY.xattr.")]
-        size = m.size if kind in ("Regular", "HardLink") else 0
-        yield _entry(m.name, kind, size, m.offset_data, size, mode=m.mode & 0o7777, uid=m.uid, gid=m.gid, mtime=int(m.mtime) & 0xFFFFFFFF, dev_major=m.devmajor, dev_minor=m.devminor, link_target=m.linkname or None, xattrs=xattrs)
+    """Members of a plain tar, in order.
+
+    A header whose checksum is wrong is an error; two empty blocks, or the end of the data, end
+    the archive. Extended and long-name headers hold for the next member; global ones do not
+    count, and members of unknown types are left out with their bodies.
+    """
+    at, empty, more = 0, 0, {}
+    while at + 512 <= len(data):
+        h, at = data[at : at + 512], at + 512
+        if not h.strip(b"\0"):
+            empty += 1
+            if empty == 2:
+                return
+            continue
+        empty = 0
+        if sum(h) - sum(h[148:156]) + 8 * 32 != tar_number(h[148:156].lstrip()):
+            raise InvalidImage(f"a wrong header checksum at {at - 512}")
+        flag, size = h[156:157], tar_number(h[124:136])
+        if flag in b"xgLK" or flag not in _TAR_KINDS:
+            body = data[at : at + size]
+            at += -(-size // 512) * 512
+            if flag == b"x":
+                more |= tar_records(body)
+            elif flag in (b"L", b"K"):
+                more["path" if flag == b"L" else "linkpath"] = body.rstrip(b"\0")
+            continue
+        kind = _TAR_KINDS[flag]
+        size = int(more.get("size", size))
+        mtime = int(float(more["mtime"])) if "mtime" in more else tar_number(h[136:148])
+        prefix, name = _text(h[345:500]), _text(h[:100])
+        name = more["path"].decode("utf-8", "replace") if "path" in more else f"{prefix}/{name}" if prefix else name
+        target = more["linkpath"].decode("utf-8", "replace") if "linkpath" in more else _text(h[157:257]) if kind in ("HardLink", "Symlink") else None
+        xattrs = [{"name": k.removeprefix("SCHILY.xattr."), "value": v} for k, v in more.items() if k.startswith("SCHILY.xattr.")]
+        length = size if kind == "Regular" else 0
+        uid, gid, major, minor = (tar_number(h[a : a + 8]) for a in (108, 116, 329, 337))
+        yield _entry(_resolved(name), kind, length, at, length, mode=tar_number(h[100:108]) & 0o7777, uid=uid, gid=gid, mtime=mtime & 0xFFFFFFFF, dev_major=major, dev_minor=minor, link_target=target, xattrs=xattrs)
+        at += -(-length // 512) * 512
+        more = {}
 
 
 def zip_entries(data: bytes) -> Iterator[dict]:
@@ -182,7 +248,11 @@ def bodies(spark: SparkSession, entries: DataFrame, path: str, codec: str | None
                 return b
             if m != "deflate":
                 raise Unsupported(m)
-            return zlib.decompressobj(-15).decompress(bytes(b), most)
+            stream = zlib.decompressobj(-15)
+            out = stream.decompress(bytes(b), most)
+            if stream.unconsumed_tail or not stream.eof:
+                raise InvalidImage(f"a member of more than {most} bytes in the clear, or one cut short")
+            return out
 
         return raw.combine(method, one)
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.window import Window
 
 from ..operators.merge import merge, with_parents
 
@@ -39,10 +38,11 @@ def replay(journal: DataFrame, first: int) -> DataFrame:
     """Blocks after a replay of journal (tid, seq, block, payload, commit): block, payload.
 
     Transactions count from ``first`` as long as each has a commit record; the last payload of
-    a block wins. The numbers of committed transactions are compared with their row numbers to
-    find the end, so only one small row for each transaction is ordered.
+    a block wins. The end is the least number whose successor is not committed, found by a join
+    of the numbers with themselves, so nothing is ordered.
     """
-    done = journal.groupBy("tid").agg(F.max("commit").alias("_ok")).where(F.col("_ok") & (F.col("tid") >= first))
-    run = done.withColumn("_n", F.row_number().over(Window.orderBy("tid"))).where(F.col("tid") - first + 1 == F.col("_n")).select("tid")
-    rows = journal.where("not commit").join(run, "tid", "left_semi")
+    done = journal.groupBy("tid").agg(F.max("commit").alias("_ok")).where(F.col("_ok") & (F.col("tid") >= first)).select("tid")
+    tids = done.unionByName(done.sparkSession.range(1).select(F.lit(first - 1).cast("long").alias("tid")))
+    end = tids.join(done.select((F.col("tid") - 1).alias("tid")), "tid", "left_anti").agg(F.min("tid").alias("_end"))  # one row
+    rows = journal.where((~F.col("commit")) & (F.col("tid") >= first)).crossJoin(F.broadcast(end)).where(F.col("tid") <= F.col("_end"))
     return rows.groupBy("block").agg(F.max_by("payload", F.struct("tid", "seq")).alias("payload"))
