@@ -209,7 +209,7 @@ def test_op2_prunes_by_coordinates():
 
 
 def test_op3_like_plain_python(spark, docs, nothing):
-    notices = [t for ts in licenses.TEMPLATES.values() for t in ts]
+    notices = [t for ts in licenses.NOTICES.values() for t in ts if len(licenses.words(t)) <= licenses.PIECE]
     more = spark.createDataFrame([(900 + i, f"{prose(random.Random(i), 20)}\n{t}\nend") for i, t in enumerate(notices)] + [(990, "GNU\nall of the rights\nthe Apache tribe")], "doc_id long, text string")
     every = docs.select("doc_id", "text").unionByName(more)
     model = licenses.train(docs)
@@ -220,7 +220,7 @@ def test_op3_like_plain_python(spark, docs, nothing):
         sure = [x[0] for x in p if x[2]]
         g = got[r.doc_id, len(lines)]
         assert (g.n_predicted, g.n_confirmed, g.families, g.license) == (len(p), len(sure), ",".join(sorted(set(sure))), sure[0] if sure else "unknown")
-    family = {t: f for f, ts in licenses.TEMPLATES.items() for t in ts}
+    family = {t: f for f, ts in licenses.NOTICES.items() for t in ts}
     assert sum(got[900 + i, 3].license == family[t] for i, t in enumerate(notices)) >= len(notices) - 1
     assert got[990, 3].license == "unknown"
     plan = licenses.scan(every, model)._jdf.queryExecution().executedPlan().toString()
@@ -241,6 +241,26 @@ def test_op3_wrapped_notices(spark, docs):
     assert [got[i].n_confirmed for i in range(5)] == [1, 1, 1, 2, 0]
 
 
+def test_op3_notices_that_are_no_templates(spark, docs):
+    """Whole texts wrapped at a column, other wordings, and licences and prose that no family stands for."""
+    import textwrap
+
+    model = licenses.train(docs)
+    rng = random.Random(21)
+    known = [(f, "\n".join(textwrap.wrap(t, width))) for f, ts in licenses.NOTICES.items() for t in ts if len(licenses.words(t)) > licenses.PIECE for width in (50, 72)]
+    known += [
+        ("mit", "This project is licensed under the MIT License - see the LICENSE file for details."), ("bsd", "You may use it under the BSD 3-Clause License"), ("mit", " * SPDX-License-Identifier: MIT"), ("apache", "// SPDX-License-Identifier: Apache-2.0"),
+        ("gpl", "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."),
+        ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not\nuse this file except in compliance with the License."), ("cc-by", "Text is licensed under a Creative Commons Attribution 4.0 International License"), ("all-rights-reserved", "Copyright 2019 by the authors. All rights reserved."),
+    ]
+    other = ["Licensed under the Academic Free License", "WTFPL license applies", "Published under the zlib license", "Licence plates of the public road", "The library is open to the public under certain terms", "the copyright notice hung above the door"] + [prose(rng, 80) for _ in range(30)]
+    rows = [(i, f"{prose(rng, 40)}\n\n{t}\n\n{prose(rng, 40)}") for i, (_, t) in enumerate(known)] + [(1000 + i, t) for i, t in enumerate(other)]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    found = sum(got[i] == f for i, (f, _) in enumerate(known))
+    assert found >= 0.95 * len(known), [(f, got[i], t) for i, (f, t) in enumerate(known) if got[i] != f]
+    assert all(got[1000 + i] == "unknown" for i in range(len(other)))
+
+
 def near_by_brute_force(rows, similarity=0.8):
     sets = []
     for _, t in rows:
