@@ -39,6 +39,8 @@ from .common import shared_folder, shuffle_partitions, slices, string_buffers
 
 ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 64 << 10
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+# Text that Python and the tokenizer lower-case alike, one character for one, and that is composed.
+_PLAIN = re.compile("[\x00-\u012f\u0131-\u024f]*")
 
 
 def default_tokenizer() -> str:
@@ -203,7 +205,7 @@ class Encoder:
         if not self.by_words:
             lists = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
             return np.fromiter(chain.from_iterable(lists), np.int32), np.cumsum([0, *map(len, lists)])
-        split = [[t] if _ODD_SPACE.search(t) else t.lower().split() if t.isascii() and "<|" not in t else t.split() for t in texts]
+        split = [[t] if _ODD_SPACE.search(t) else t.lower().split() if "<|" not in t and (t.isascii() or _PLAIN.fullmatch(t)) else t.split() for t in texts]
         bounds = np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)
         which = np.fromiter(map(self.table.__getitem__, chain.from_iterable(split)), np.int64, int(bounds[-1]))
         if self.table.new:
@@ -224,11 +226,40 @@ def encoder_of(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _byte_set(members: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(members)] = True
+    return out
+
+
+_STOP, _SPACE, _LETTER = _byte_set(_STOPS.encode()), _byte_set(b" \t\n\r"), _byte_set(bytes([*range(65, 91), *range(97, 123)]))
+
+
+def stops_apart(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with a space before each stop that stands between an ASCII letter and white space or the end.
+
+    The tokenizer parts them there and drops white space, so ids stay the same, and a word needs
+    no entry of its own for each stop after it.
+    """
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[offsets] = True
+    after = edge[1:].copy()
+    after[:-1] |= _SPACE[raw[1:]]
+    before = np.zeros(len(raw), bool)
+    before[1:] = _LETTER[raw[:-1]]
+    at = np.flatnonzero(_STOP[raw] & before & ~edge[:-1] & after)
+    return np.insert(raw, at, 32), offsets + np.searchsorted(at, offsets)
+
+
 def encoded(column: pa.Array, encoder: Encoder):
     """(first row, last row, ids, bounds) for slices of a string column."""
-    _, offsets = string_buffers(column)
+    raw, offsets = string_buffers(column)
     for a, b in slices(offsets, 1 << 20):
-        yield a, b, *encoder.encode([t or "" for t in column.slice(a, b - a).to_pylist()])
+        part, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        if encoder.by_words:
+            part, at = stops_apart(part, at)
+        part = part.tobytes()
+        yield a, b, *encoder.encode([part[x:y].decode() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1) -> None:
