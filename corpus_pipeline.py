@@ -8,6 +8,12 @@ Documents that the toxicity stage rejects go; of near duplicates (five-word shin
 similarity of 0.8 or more, taken transitively) the one with the least doc_id stays; benchmark
 passages are cut from the text, and a document of which nothing but white space is left then
 goes; personal data becomes [KIND]; the packing stage assigns length buckets and batches.
+
+Defined results: a null text is kept as it is and packed as an empty one; rows without an id are
+never copies of others and stay, unless toxic; rows with one id and equal texts are copies, of
+which all stay if their class has no lesser id; an empty text stays; texts of any length are used
+whole; empty documents, labels or benchmark give stages that drop nothing; further columns of
+documents, whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -26,8 +32,10 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Trained on all labels that meet a document here; rows scored TOXIC_FROM or more go."""
+    """Trained on labels that meet a document here; rows scored TOXIC_FROM or more go, and none if there is nothing to learn from."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if not model.weights.any():
+        return docs
     return toxicity.below(docs, model, TOXIC_FROM)
 
 
@@ -36,8 +44,9 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), mark="_cut")
-    return _measured(cleaned.where(~F.col("_cut") | F.col("text").rlike("\\S")).drop("_cut"))
+    mark = max(docs.columns, key=len) + "_cut"  # a name that no column has
+    cleaned = decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), mark=mark)
+    return _measured(cleaned.where(~F.col(mark) | F.col("text").rlike("\\S")).drop(mark))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
