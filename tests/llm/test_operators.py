@@ -446,6 +446,101 @@ def test_op7_odd_tables(spark, docs, nothing):
     assert toxicity.train(docs, labels.limit(0)).intercept == pytest.approx(0.0)
 
 
+def plain_hash(raw):
+    """The hash of a word, in plain numbers."""
+    from treeframe.llm import common
+
+    m = 2**64 - 1
+    x = sum(int(common.BYTE_VALUE[b]) * pow(common._MULTIPLIERS[0], i, 2**64) for i, b in enumerate(raw)) & m
+    x = (x ^ x >> 33) * 0xFF51AFD7ED558CCD & m
+    x = (x ^ x >> 29) * 0xC4CEB9FE1A85EC53 & m
+    return x ^ x >> 32
+
+
+def test_op7_like_a_plain_scorer():
+    train = labelled(200, 5)
+    model = toxicity.fit([t for _, t, _ in train], [y for _, _, y in train])
+    rng = random.Random(6)
+    texts = [t for _, t, _ in labelled(40, 7)] + ["", None, "É-idiot IDIOT idiots' x", prose(rng, 3000)]
+    got = toxicity.score_texts(pa.array(texts), model)
+    for t, s in zip(texts, got, strict=True):
+        found = set()
+        for w in words_of(t):
+            raw = w.encode()
+            found.add(plain_hash(raw) >> 46)
+            found |= {plain_hash(raw[:n]) * (2 * n + 1) % 2**64 >> 46 for n in toxicity.PREFIXES if len(raw) > n}
+        z = model.intercept + sum(float(model.weights[f]) for f in found)
+        assert s == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-4)
+
+
+def loss_of(model, texts, labels, swap_weight, l1):
+    """What fit minimises, from scores alone."""
+    s = np.clip(toxicity.score_texts(pa.array(texts), model), 1e-12, 1 - 1e-12)
+    y = np.array(labels)
+    pairs = toxicity._swaps(texts, 200)
+    a, b = (toxicity.score_texts(pa.array([p[k] for p in pairs]), model) for k in (0, 1))
+    gap = np.log(a / (1 - a)) - np.log(b / (1 - b))
+    return float(-(y * np.log(s) + (1 - y) * np.log(1 - s)).mean() + swap_weight * (gap**2).mean() + l1 * np.abs(model.weights).sum())
+
+
+def test_op7_fit_is_a_minimum():
+    rows = labelled(150, 9)
+    texts, labels = [t for _, t, _ in rows], [y for _, _, y in rows]
+    model = toxicity.fit(texts, labels, steps=2000)
+    best = loss_of(model, texts, labels, 5.0, 5e-5)
+    rng = np.random.default_rng(3)
+    on = np.flatnonzero(model.weights)
+    for k in rng.choice(on, 12):
+        for step in (-0.05, 0.05):
+            w = model.weights.copy()
+            w[k] += step
+            assert loss_of(toxicity.ToxicityModel(w, model.intercept), texts, labels, 5.0, 5e-5) > best - 1e-6
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_op7_false_positives_by_group(spark):
+    """Held-out rows without the label that name a group are marked no more often than others."""
+    from treeframe.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    s = queries.op7_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 0"), "doc_id").join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").select("predicted", "text").collect()
+    for group in toxicity.IDENTITY_GROUPS:
+        named = [r.predicted for r in s if set(group) & set(words_of(r.text))]
+        assert sum(named) <= max(1, 0.02 * len(named))
+    assert sum(r.predicted for r in s) <= 0.02 * len(s) and len(s) > 200
+
+
+def test_op9_like_a_plain_scorer():
+    """Grades from frequencies counted in plain Python, and thresholds that no small change makes likelier."""
+    rng = random.Random(14)
+    texts = [prose(rng, rng.randint(5, 80)) if k else " ".join(["spam"] * rng.randint(3, 30)) for k in (0, 1, 2) for _ in range(40)]
+    ratings = [min(k, 1) + (k == 1 and i % 2) for k in (0, 1, 2) for i in range(40)]
+    model = quality.fit(texts, ratings, 1)
+    expected, tail = quality.score_texts(pa.array(texts), model)
+    words = np.zeros((len(texts), quality.WORDS))
+    for i, t in enumerate(texts):
+        for w in words_of(t):
+            words[i, plain_hash(w.encode()) >> 55] += 1 / len(words_of(t))
+    x = np.concatenate([f for _, _, f in quality._features(pa.array(texts))])
+    assert np.allclose(x[:, : quality.WORDS], np.log2(1 + 1000 * words) / 10, atol=1e-5)
+    z = x @ model.weights
+    sure = lambda v: 1 / (1 + np.exp(-v))
+
+    def likelihood(theta):
+        edges = np.concatenate([[-np.inf], theta, [np.inf]])
+        y = np.searchsorted(model.grades, ratings)
+        return float(np.log(sure(edges[y + 1] - z) - sure(edges[y] - z)).sum())
+
+    for i in range(len(texts)):
+        p = np.diff([0.0, *(sure(t - z[i]) for t in model.thresholds), 1.0])
+        assert expected[i] == pytest.approx(float(p @ model.grades), abs=1e-5) and tail[i] == pytest.approx(float(p[np.array(model.grades) >= 1].sum()), abs=1e-5)
+    for k in range(len(model.thresholds)):
+        for step in (-0.3, 0.3):
+            moved = model.thresholds.copy()
+            moved[k] += step
+            assert likelihood(moved) < likelihood(model.thresholds) + 0.05
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
