@@ -267,3 +267,67 @@ def test_encodings(spark):
     attributes = F.array(F.struct(F.lit("user.a").alias("name"), F.lit(b"1").alias("value")))
     x = spark.range(1).select(mutate.set_attribute(attributes, "user.a", b"2").alias("s"), mutate.set_attribute(attributes, "user.b", b"3").alias("t"), mutate.remove_attribute(attributes, "user.a").alias("u")).first()
     assert [bytes(i.value) for i in x.s] == [b"2"] and [i.name for i in x.t] == ["user.a", "user.b"] and x.u == []
+
+
+def test_zip_records(spark, tmp_path):
+    """Zip archives both ways against Python's own library; large places, stamps, comments and damage."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.comment = b"PK\5\6 in a comment"
+        z.writestr(zipfile.ZipInfo("d/", (1999, 12, 31, 23, 59, 58)), b"")
+        link = zipfile.ZipInfo("d/l")
+        link.create_system, link.external_attr = 3, 0o120777 << 16
+        z.writestr(link, b"../t")
+        with z.open("wide", "w", force_zip64=True) as f:
+            f.write(b"w" * 1000)
+        stamped = zipfile.ZipInfo("stamped")
+        stamped.extra = struct.pack("<HHBI", 0x5455, 5, 1, 77)
+        z.writestr(stamped, b"s")
+        z.writestr("ü", b"u", zipfile.ZIP_STORED)
+    data = out.getvalue()
+    got = {e["path"]: e for e in archives.zip_entries(data)}
+    assert {p: (e["kind"], e["size"], e["link_target"]) for p, e in got.items()} == {"/d": ("Dir", 0, None), "/d/l": ("Symlink", 0, "../t"), "/wide": ("Regular", 1000, None), "/stamped": ("Regular", 1, None), "/ü": ("Regular", 1, None)}
+    assert got["/stamped"]["mtime"] == 77 and got["/d"]["mtime"] == 946684798 and got["/d/l"]["mode"] == 0o777
+    b = got["/wide"]["body"]
+    assert archives.inflated(data[b["offset"] : b["offset"] + b["clen"]], b["method"], 1000) == b"w" * 1000
+    for most, end in ((999, None), (1000, -1)):
+        with pytest.raises(Exception, match="more than"):
+            archives.inflated(data[b["offset"] : b["offset"] + b["clen"]][:end], b["method"], most)
+    # Sizes and place in the 64-bit field.
+    wide = bytearray(data)
+    at = wide.index(b"PK\1\2", wide.index(b"PK\1\2", wide.index(b"PK\1\2") + 1) + 1)
+    assert wide[at + 46 : at + 50] == b"wide"
+    real = [struct.unpack_from("<I", wide, at + k)[0] for k in (24, 20, 42)]
+    for k in (24, 20, 42):
+        struct.pack_into("<I", wide, at + k, 0xFFFFFFFF)
+    struct.pack_into("<H", wide, at + 30, 28)
+    wide[at + 50 : at + 50] = struct.pack("<HHQQQ", 1, 24, *real)
+    end = wide.rindex(b"PK\5\6", 0, len(wide) - 22)
+    struct.pack_into("<I", wide, end + 12, struct.unpack_from("<I", wide, end + 12)[0] + 28)
+    assert list(archives.zip_entries(bytes(wide))) == list(archives.zip_entries(data))
+    for bad in (data[:-1], data[:40], b"", data.replace(b"PK\3\4", b"PK\3\5")):
+        with pytest.raises(Exception, match="end record|local header"):
+            list(archives.zip_entries(bad))
+    rows_in = [("/", "Dir", None, None), ("/d", "Dir", None, None), ("/d/e", "Regular", None, b""), ("/d/l", "Symlink", "../t", None), ("/ü", "Regular", None, b"x" * 5000)]
+    e = spark.createDataFrame([(*r, 0o4711, 946684799) for r in rows_in], "path string, kind string, link_target string, data binary, mode long, mtime long")
+    sinks.write(e, f"{tmp_path}/z", "zip", 1)
+    with zipfile.ZipFile(f"{tmp_path}/z/{os.listdir(tmp_path / 'z')[0]}") as z:
+        assert z.testzip() is None
+        assert [(m.filename, z.read(m), m.external_attr >> 16, m.date_time) for m in z.infolist()] == [
+            ("d/", b"", 0o44711, (1999, 12, 31, 23, 59, 58)), ("d/e", b"", 0o104711, (1999, 12, 31, 23, 59, 58)), ("d/l", b"../t", 0o124711, (1999, 12, 31, 23, 59, 58)), ("ü", b"x" * 5000, 0o104711, (1999, 12, 31, 23, 59, 58)),
+        ]
+    assert rows(archives.scan(spark, f"{tmp_path}/z", "zip").select("path", "link_target")) == [("/d", None), ("/d/e", None), ("/d/l", "../t"), ("/ü", None)]
+    many = io.BytesIO()
+    row = type("Row", (), {"kind": "Regular", "data": b"", "mode": 0o644, "mtime": 0})
+    names = []
+    for k in range(70_000):
+        r = row()
+        r.path = f"/{k}"
+        names.append(r)
+    assert sinks._zip(iter(names), many) == 70_000
+    with zipfile.ZipFile(many) as z:
+        assert len(z.infolist()) == 70_000
+    assert sum(1 for _ in archives.zip_entries(many.getvalue())) == 70_000
+    device = spark.createDataFrame([("/n", "Char")], "path string, kind string")
+    with pytest.raises(Exception, match="holds no Char"):
+        sinks.write(device, f"{tmp_path}/dev", "zip", 1)

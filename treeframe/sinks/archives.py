@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import io
 import os
+import struct
 import time
-import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from ..entries import XATTRS, InvalidArgument
+from ..entries import XATTRS, InvalidArgument, Unsupported
 
 COLUMNS = ("path", "kind", "mode", "uid", "gid", "mtime", "link_target", "dev_major", "dev_minor", "xattrs", "data")
 # A tar header's type by kind.
@@ -79,16 +80,47 @@ def _tar_record(key: bytes, value: bytes) -> bytes:
     return b"%d %s=%s\n" % (size, key, value)
 
 
+def _dos_words(seconds: int) -> tuple[int, int]:
+    """(time, date) words of two-second resolution; none before 1980."""
+    y, m, d, hour, minute, second = time.gmtime(min(max(seconds, 315532800), 4354819198))[:6]
+    return hour << 11 | minute << 5 | second // 2, (y - 1980) << 9 | m << 5 | d
+
+
 def _zip(rows: Iterator, out: io.RawIOBase) -> int:
-    n = 0
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-        for r in rows:
-            stamp = max(time.gmtime(max(r.mtime or 0, 0))[:6], (1980, 1, 1, 0, 0, 0))
-            m = zipfile.ZipInfo(r.path.lstrip("/") + "/" * (r.kind == "Dir"), stamp)
-            m.create_system, m.compress_type = 3, zipfile.ZIP_DEFLATED
-            m.external_attr = ({"Dir": 0x4000, "Symlink": 0xA000}.get(r.kind, 0x8000) | (r.mode or 0)) << 16
-            archive.writestr(m, (r.link_target or "").encode() if r.kind == "Symlink" else bytes(r.data or b""))
-            n += 1
+    """Deflated members (empty ones stored), then their records; 64-bit fields stand only where 32 bits are too few.
+
+    A body is a row's value of at most 2 GB, so only places need more than 32 bits.
+    """
+    records, at = [], 0
+    for r in rows:
+        if r.kind not in ("Regular", "Dir", "Symlink"):
+            raise Unsupported(f"a zip holds no {r.kind}: {r.path}")
+        name = (r.path.strip("/") + "/" * (r.kind == "Dir")).encode()
+        if name in (b"", b"/"):
+            if r.kind == "Dir":
+                continue  # the root is implied
+            raise InvalidArgument("a member without a name")
+        if len(name) > 0xFFFF:
+            raise InvalidArgument(f"a name of more than 65535 bytes: {r.path[:80]}")
+        body = (r.link_target or "").encode() if r.kind == "Symlink" else bytes(r.data or b"") if r.kind == "Regular" else b""
+        deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+        packed = deflate.compress(body) + deflate.flush() if body else b""
+        unix = {"Dir": 0x4000, "Symlink": 0xA000}.get(r.kind, 0x8000) | (r.mode or 0) & 0o7777
+        shared = struct.pack("<HHHHIIIHH", 0 if name.isascii() else 0x800, 8 if body else 0, *_dos_words(r.mtime or 0), zlib.crc32(body), len(packed), len(body), len(name), 0)
+        out.write(b"PK\3\4" + struct.pack("<H", 20) + shared + name + packed)
+        far = at >= 0xFFFFFFFF
+        extra = struct.pack("<HHQ", 1, 8, at) if far else b""
+        shared = shared[:-2] + struct.pack("<H", len(extra))
+        records.append(b"PK\1\2" + struct.pack("<HH", 3 << 8 | 45, 45 if far else 20) + shared + struct.pack("<HHHII", 0, 0, 0, unix << 16 | (0x10 if r.kind == "Dir" else 0), min(at, 0xFFFFFFFF)) + name + extra)
+        at += 30 + len(name) + len(packed)
+    length = sum(map(len, records))
+    for record in records:
+        out.write(record)
+    n = len(records)
+    if n > 0xFFFF or at + length > 0xFFFFFFFF:
+        out.write(b"PK\6\6" + struct.pack("<QHHIIQQQQ", 44, 3 << 8 | 45, 45, 0, 0, n, n, length, at))
+        out.write(b"PK\6\7" + struct.pack("<IQI", 0, at + length, 1))
+    out.write(b"PK\5\6" + struct.pack("<HHHHIIH", 0, 0, min(n, 0xFFFF), min(n, 0xFFFF), min(length, 0xFFFFFFFF), min(at, 0xFFFFFFFF), 0))
     return n
 
 

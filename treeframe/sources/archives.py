@@ -8,12 +8,13 @@ cuts them out with a column expression.
 
 from __future__ import annotations
 
-import bz2
+import calendar
 import gzip
 import io
 import lzma
 import re
-import zipfile
+import struct
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,6 +30,7 @@ from ..functions.encodings import decode_name
 _TAR_KINDS = {b"\0": "Regular", b"0": "Regular", b"1": "HardLink", b"2": "Symlink", b"3": "Char", b"4": "Block", b"5": "Dir", b"6": "Fifo", b"7": "Regular"}
 _MODE_KINDS = {0x1000: "Fifo", 0x2000: "Char", 0x4000: "Dir", 0x6000: "Block", 0x8000: "Regular", 0xA000: "Symlink", 0xC000: "Socket"}
 _METHODS = {0: "stored", 8: "deflate", 93: "zstd"}
+MOST_TARGET = 1 << 16  # bytes of a link's target
 
 
 def _path(name: str) -> str:
@@ -119,21 +121,89 @@ def tar_entries(data: bytes) -> Iterator[dict]:
         more = {}
 
 
+def _directory(data: bytes) -> tuple[int, int]:
+    """(place, length) of a zip's central directory, whose end record stands last, before a comment of a stated length."""
+    for at in range(len(data) - 22, max(-1, len(data) - 22 - 0xFFFF - 1), -1):
+        if data[at : at + 4] == b"PK\5\6" and at + 22 + int.from_bytes(data[at + 20 : at + 22], "little") == len(data):
+            break
+    else:
+        raise InvalidImage("no end record of a zip archive")
+    length, place = struct.unpack_from("<II", data, at + 12)
+    if at >= 20 and data[at - 20 : at - 16] == b"PK\6\7":
+        (end,) = struct.unpack_from("<Q", data, at - 12)
+        if data[end : end + 4] != b"PK\6\6" or end + 56 > len(data):
+            raise InvalidImage("a locator without its 64-bit end record")
+        length, place = struct.unpack_from("<QQ", data, end + 40)
+    if place + length > len(data):
+        raise InvalidImage("a central directory beyond the archive's end")
+    return place, length
+
+
+def _extras(field: bytes) -> Iterator[tuple[int, bytes]]:
+    """(id, value) of an extra field's parts; a part that is cut short ends it."""
+    at = 0
+    while at + 4 <= len(field):
+        tag, n = struct.unpack_from("<HH", field, at)
+        if at + 4 + n > len(field):
+            return
+        yield tag, field[at + 4 : at + 4 + n]
+        at += 4 + n
+
+
+def _dos_seconds(date: int, time: int) -> int:
+    month, day = max(date >> 5 & 15, 1), max(date & 31, 1)
+    return calendar.timegm(((date >> 9) + 1980, min(month, 12), day, time >> 11, time >> 5 & 63, (time & 31) * 2, 0, 0, 0))
+
+
 def zip_entries(data: bytes) -> Iterator[dict]:
-    try:
-        archive = zipfile.ZipFile(io.BytesIO(data))
-    except zipfile.BadZipFile as e:
-        raise InvalidImage(str(e)) from e
-    for m in archive.infolist():
-        local = data[m.header_offset : m.header_offset + 30]
-        at = m.header_offset + 30 + int.from_bytes(local[26:28], "little") + int.from_bytes(local[28:30], "little")
-        unix = m.external_attr >> 16 if m.create_system == 3 else 0
-        kind = "Dir" if m.filename.endswith("/") else "Symlink" if unix & 0xF000 == 0xA000 else "Regular"
-        name = m.filename if m.flag_bits & 0x800 else decode_name(m.filename.encode("cp437"))
-        target = archive.read(m).decode("utf-8", "replace") if kind == "Symlink" else None
-        import calendar
-
-        yield _entry(name, kind, m.file_size if kind == "Regular" else 0, at, m.compress_size, _METHODS.get(m.compress_type, f"unsupported:{m.compress_type}"), mode=unix & 0o7777 or (0o755 if kind == "Dir" else 0o644), uid=0, gid=0, mtime=calendar.timegm((*m.date_time, 0, 0, 0)), link_target=target)
+    """Members in the order of the central directory; bodies stand after their local headers.
+
+    Sizes and places of 32 ones are in the 64-bit extra field, a time stamp there goes before the
+    DOS one, and names without the UTF-8 flag are decoded by trial. The end record's count of
+    members is not checked.
+    """
+    place, length = _directory(data)
+    at, end = place, place + length
+    while at + 46 <= end and data[at : at + 4] == b"PK\1\2":
+        made, _, flags, method, time, date, _, clen, ulen, n, m, c, _, _, attributes, local = struct.unpack_from("<HHHHHHIIIHHHHHII", data, at + 4)
+        at += 46
+        raw, extra = data[at : at + n], data[at + n : at + n + m]
+        at += n + m + c
+        if at > end:
+            raise InvalidImage("a member's record goes beyond the central directory")
+        mtime = _dos_seconds(date, time)
+        for tag, value in _extras(extra):
+            if tag == 1:
+                wide = iter(struct.unpack(f"<{len(value) // 8}Q", value[: len(value) // 8 * 8]))
+                ulen, clen, local = (next(wide, x) if x == 0xFFFFFFFF else x for x in (ulen, clen, local))
+            elif tag == 0x5455 and len(value) >= 5 and value[0] & 1:
+                (mtime,) = struct.unpack_from("<I", value, 1)
+        if data[local : local + 4] != b"PK\3\4" or local + 30 > len(data):
+            raise InvalidImage(f"no local header at {local}")
+        body = local + 30 + sum(struct.unpack_from("<HH", data, local + 26))
+        if body + clen > len(data):
+            raise InvalidImage(f"a member at {local} goes beyond the archive's end")
+        name = raw.decode("utf-8", "replace") if flags & 0x800 else decode_name(raw)
+        unix = attributes >> 16 if made >> 8 == 3 else 0
+        kind = "Dir" if name.endswith("/") else "Symlink" if unix & 0xF000 == 0xA000 else "Regular"
+        how = _METHODS.get(method, f"unsupported:{method}")
+        target = inflated(data[body : body + clen], how, MOST_TARGET).decode("utf-8", "replace") if kind == "Symlink" else None
+        yield _entry(name, kind, ulen if kind == "Regular" else 0, body, clen, how, mode=unix & 0o7777 or (0o755 if kind == "Dir" else 0o644), uid=0, gid=0, mtime=mtime, link_target=target)
+
+
+def inflated(raw: bytes, method: str, most: int) -> bytes:
+    """A member's body in the clear; an error if it is longer than ``most``, cut short or of another method."""
+    if method == "stored":
+        return raw
+    if method == "zstd":
+        return decompress(raw, "zstd", most)
+    if method != "deflate":
+        raise Unsupported(method)
+    stream = zlib.decompressobj(-15)
+    out = stream.decompress(raw, most)
+    if stream.unconsumed_tail or not stream.eof:
+        raise InvalidImage(f"a member of more than {most} bytes in the clear, or one cut short")
+    return out
 
 
 def cpio_entries(data: bytes) -> Iterator[dict]:
@@ -184,7 +254,6 @@ def ar_entries(data: bytes) -> Iterator[dict]:
 
 
 READERS = {"tar": tar_entries, "zip": zip_entries, "cpio": cpio_entries, "ar": ar_entries}
-_OPENERS = {"gzip": gzip.decompress, "xz": lzma.decompress, "lzma": lzma.decompress, "bzip2": bz2.decompress}
 
 
 def decompress(data: bytes, codec: str | None, most: int) -> bytes:
@@ -234,27 +303,14 @@ def scan(spark: SparkSession, path: str, kind: str = "tar", codec: str | None =
 
 
 def bodies(spark: SparkSession, entries: DataFrame, path: str, codec: str | None = None, most: int = 1 << 30) -> DataFrame:
-    """entries with ``data``, their bytes; deflated members are opened, others with a codec are an error."""
-    import zlib
-
+    """entries with ``data``, their bytes; deflated and zstd members are opened, other methods are an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("source"), "content")
     if codec:
         files = files.withColumn("content", clear_content(most)(F.col("content"), F.lit(codec)))
 
     @pandas_udf(BinaryType())
     def opened(raw, method):
-        def one(b, m):
-            if b is None or m == "stored":
-                return b
-            if m != "deflate":
-                raise Unsupported(m)
-            stream = zlib.decompressobj(-15)
-            out = stream.decompress(bytes(b), most)
-            if stream.unconsumed_tail or not stream.eof:
-                raise InvalidImage(f"a member of more than {most} bytes in the clear, or one cut short")
-            return out
-
-        return raw.combine(method, one)
+        return raw.combine(method, lambda b, m: None if b is None else inflated(bytes(b), m, most))
 
     raw = F.substring(F.col("content"), (F.col("body.offset") + 1).cast("int"), F.col("body.clen").cast("int"))
     return entries.where("kind = 'Regular'").join(files, "source").withColumn("data", opened(raw, F.col("body.method"))).drop("content")
