@@ -82,3 +82,15 @@ def test_checksums_of_whole_texts(spark, tmp_path):
         assert r.descriptor == fold(words, lambda s, w: (s * 8 % 2**32 + s // 2**29 + w) % 2**32)
         assert r.short_name == fold(f"{i:<8}TXT".encode(), right(8))
         assert (r.directory, r.attribute) == (fold(name, left(7)), fold(name, left(5)))
+
+
+def test_name_hashes_like_plain_ones(spark):
+    from test_library import M32, plain_crc32c, plain_half_md4, plain_tea
+
+    from treeframe.plans import views
+
+    names = {r.page_id: r.path.rsplit("/", 1)[1] for r in views.page_paths(spark, SF).collect()}
+    for r in catalog.QUERIES["name_hashes"](spark, SF).collect():
+        raw = names[r.page_id].encode()
+        assert raw.isascii() and (r.tea, r.half_md4, r.crc32c) == (plain_tea(raw), plain_half_md4(raw), plain_crc32c(raw))
+        assert r.drec == (plain_crc32c(raw.decode().lower().encode("utf-32-le")) ^ M32) & 0x3FFFFF

@@ -50,11 +50,90 @@ def test_display(spark):
     assert got[4] == "<20 bytes> " + " ".join(f"{b:02x}" for b in range(16)) + "…" and tuple(got)[5:] == (True, 420, 0)
 
 
+M32 = 0xFFFFFFFF
+
+
+def plain_words(name, count, signed):
+    pad = (len(name) & 0xFF) * 0x01010101
+    out, value = [], pad
+    for i, b in enumerate(name[: count * 4]):
+        value = ((b - 256 if signed and b > 127 else b) + (value << 8)) & M32
+        if i % 4 == 3:
+            out.append(value)
+            value = pad
+    return (out + [value] + [pad] * count)[:count]
+
+
+def plain_tea(name):
+    a, b = 0x67452301, 0xEFCDAB89
+    for at in range(0, max(len(name), 1), 16):
+        k, x, y, s = plain_words(name[at:], 4, False), a, b, 0
+        for _ in range(16):
+            s = (s + 0x9E3779B9) & M32
+            x = (x + (((y << 4) + k[0]) ^ (y + s) ^ ((y >> 5) + k[1]))) & M32
+            y = (y + (((x << 4) + k[2]) ^ (x + s) ^ ((x >> 5) + k[3]))) & M32
+        a, b = (a + x) & M32, (b + y) & M32
+    return 0 if name in (b".", b"..") else a
+
+
+def plain_half_md4(name, signed=True):
+    state = [0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476]
+    for at in range(0, max(len(name), 1), 32):
+        w, (a, b, c, d) = plain_words(name[at:], 8, signed), state
+        for f, add, shifts, order in (
+            (lambda x, y, z: (x & y) | (~x & z), 0, (3, 7, 11, 19), range(8)),
+            (lambda x, y, z: (x & y) | (x & z) | (y & z), 0x5A827999, (3, 5, 9, 13), (1, 3, 5, 7, 0, 2, 4, 6)),
+            (lambda x, y, z: x ^ y ^ z, 0x6ED9EBA1, (3, 9, 11, 15), (3, 7, 2, 6, 1, 5, 0, 4)),
+        ):
+            for i, k in enumerate(order):
+                x = (a + (f(b, c, d) & M32) + w[k] + add) & M32
+                x = (x << shifts[i % 4] | x >> 32 - shifts[i % 4]) & M32
+                a, b, c, d = d, x, b, c
+        state = [(s + v) & M32 for s, v in zip(state, (a, b, c, d), strict=True)]
+    return state[1] & ~1
+
+
+def plain_fletcher(data):
+    w = struct.unpack(f"<{-(-len(data) // 4)}I", data + b"\0" * (-len(data) % 4))
+    first = second = 0
+    for x in w:
+        first = (first + x) % M32
+        second = (second + first) % M32
+    low = M32 - (first + second) % M32
+    return (M32 - (first + low) % M32) << 32 | low
+
+
+def plain_crc32c(data):
+    crc = M32
+    for b in data:
+        crc ^= b
+        for _ in range(8):
+            crc = crc >> 1 ^ (0x82F63B78 if crc & 1 else 0)
+    return crc ^ M32
+
+
+def test_hashes_like_plain_ones():
+    """Strings of all lengths about the words, blocks and chunks, with all bytes."""
+    import random
+
+    import numpy as np
+
+    pick = random.Random(3)
+    names = [b".", b"..", b"", b".a", *(bytes(pick.randrange(256) for _ in range(n)) for n in [*range(70), 127, 128, 129, 255, 256, 257, 4095, 4096, 9000] for _ in range(3))]
+    raw, offsets = np.frombuffer(b"".join(names), np.uint8), np.concatenate([[0], np.cumsum([len(n) for n in names])])
+    for rows, plain in ((hashes.crc32c_rows, plain_crc32c), (hashes.tea_rows, plain_tea), (hashes.half_md4_rows, plain_half_md4), (hashes.fletcher64_rows, plain_fletcher)):
+        assert [int(x) for x in rows(raw, offsets)] == [plain(n) for n in names], rows
+        assert len(rows(raw[:0], offsets[:1])) == 0
+    assert [int(x) for x in hashes.half_md4_rows(raw, offsets, signed=False)] == [plain_half_md4(n, False) for n in names]
+
+
 def test_hashes(spark):
     d = spark.createDataFrame([(b"123456789",)], "b binary")
     r = d.select(hashes.crc32(F.col("b")), hashes.crc32c("b")).first()
     assert tuple(r) == (zlib.crc32(b"123456789"), 0xE3069283)
-    assert hashes.tea_hash_bytes(b"..") == 0 and hashes.half_md4_bytes(b"abc") % 2 == 0
+    names = spark.createDataFrame([(".",), ("..",), (None,), ("abc",), ("",)], "n string")
+    got = names.select(hashes.tea_hash("n"), hashes.half_md4_hash("n"), hashes.drec_hash("n"), hashes.fletcher64(F.col("n").cast("binary"))).collect()
+    assert [r[0] for r in got[:3]] == [0, 0, None] and tuple(got[2]) == (None,) * 4 and got[3][1] == plain_half_md4(b"abc") and got[3][0] == plain_tea(b"abc")
 
     def rotated(data, width):
         s = 0

@@ -7,6 +7,7 @@ tables, run in Python over Arrow batches.
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import numpy as np
@@ -119,19 +120,96 @@ def _crc32c_table() -> list[int]:
     return table
 
 
-_CRC32C = _crc32c_table()
-
-
-def crc32c_bytes(data: bytes, crc: int = _MASK32) -> int:
-    for b in data:
-        crc = _CRC32C[(crc ^ b) & 0xFF] ^ (crc >> 8)
-    return crc
+_CRC32C = np.array(_crc32c_table(), np.uint32)
+_CHUNK = 64
+
+
+def _advanced(crc: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """Registers after the zero bytes that tables stand for."""
+    return tables[0][crc & 0xFF] ^ tables[1][crc >> 8 & 0xFF] ^ tables[2][crc >> 16 & 0xFF] ^ tables[3][crc >> 24]
+
+
+def _chunk_tables(doublings: int) -> list[np.ndarray]:
+    """For each k, what 2**k chunks of zero bytes make of a register, by its four bytes."""
+    crc = (np.arange(256, dtype=np.uint32) << np.arange(0, 32, 8, dtype=np.uint32)[:, None]).astype(np.uint32)
+    for _ in range(_CHUNK):
+        crc = _CRC32C[crc & 0xFF] ^ crc >> 8
+    out = [crc]
+    while len(out) < doublings:
+        out.append(_advanced(out[-1], out[-1]))
+    return out
+
+
+_ADVANCE = _chunk_tables(26)  # 2**32 bytes
+
+
+def crc32c_rows(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """CRC-32C, started and ended with all ones, of each of the byte strings raw[offsets[i]:offsets[i + 1]].
+
+    A register is linear in its bytes, so all strings are cut into chunks counted from their ends,
+    filled up with zeros in front, and advanced a byte at a time together; each chunk's register is
+    then moved to its string's end by doublings. Starting with all ones is the same as the
+    register of four bytes of ones, as long as the string, in front.
+    """
+    size = np.diff(offsets)
+    count = np.maximum(-(-(size + 4) // _CHUNK), 1)
+    last = np.cumsum(count)
+    rows = np.zeros((int(last[-1]) if len(last) else 0, _CHUNK), np.uint8)
+    # The register's ones go over the first four bytes; four zeros in front of a string change nothing.
+    flat = rows.reshape(-1)
+    begin = last * _CHUNK - size
+    flat[np.arange(len(raw)) + np.repeat(begin - offsets[:-1], size)] = raw
+    for k in range(4):
+        at = begin + k
+        held = size > k
+        flat[at[held]] ^= 0xFF
+    crc = np.zeros(len(rows), np.uint32)
+    for column in rows.T:
+        crc = _CRC32C[(crc ^ column) & 0xFF] ^ crc >> 8
+    back = np.repeat(last, count) - 1 - np.arange(len(rows))
+    for k in range(int(back.max(initial=0)).bit_length()):
+        far = (back >> k & 1).astype(bool)
+        crc[far] = _advanced(crc[far], _ADVANCE[k])
+    out = np.bitwise_xor.reduceat(crc, last - count) if len(rows) else crc
+    # Of a string of n < 4 bytes, 4 - n bytes of the ones are still in the register.
+    short = np.maximum(4 - size, 0)
+    return out ^ (_MASK32 >> (8 * (4 - short)).astype(np.uint64)).astype(np.uint32) * (short > 0) ^ np.uint32(_MASK32)
+
+
+def _strings(values: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, offsets, which are not null) of a column of bytes."""
+    there = values.notna().to_numpy()
+    held = [bytes(b) for b in values[there]]
+    return np.frombuffer(b"".join(held), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in held])]).astype(np.int64), there
+
+
+def _column(out: np.ndarray, there: np.ndarray) -> pd.Series:
+    whole = pd.array(np.zeros(len(there), np.int64), "Int64")
+    whole[there] = out.astype(np.int64)
+    whole[~there] = pd.NA
+    return pd.Series(whole)
 
 
 @pandas_udf(LongType())
 def crc32c(data: pd.Series) -> pd.Series:
     """CRC-32C, started and ended with all ones."""
-    return data.map(lambda b: None if b is None else crc32c_bytes(bytes(b)) ^ _MASK32).astype("Int64")
+    raw, offsets, there = _strings(data)
+    return _column(crc32c_rows(raw, offsets), there)
+
+
+def fletcher64_rows(raw: np.ndarray, offsets: np.ndarray) -> list[int]:
+    """Fletcher's checksum of 32-bit little-endian words, the last filled up with zeros, of each byte string."""
+    m, out = np.uint64(_MASK32), []
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+        w = np.zeros(-(-(b - a) // 4), "<u4")
+        w.view(np.uint8)[: b - a] = raw[a:b]
+        w = w.astype(np.uint64) % m
+        # Products are below 2**61 for strings of 2 GB, and are reduced before they are added.
+        first = int(w.sum() % m)
+        second = int((w * np.arange(len(w), 0, -1, dtype=np.uint64) % m).sum() % m)
+        low = _MASK32 - (first + second) % _MASK32
+        out.append((_MASK32 - (first + low) % _MASK32) << 32 | low)
+    return out
 
 
 @pandas_udf(DecimalType(20, 0))
@@ -139,94 +217,113 @@ def fletcher64(data: pd.Series) -> pd.Series:
     """Fletcher's checksum of 32-bit words modulo 2**32 - 1, in the form that makes block and checksum sum to zero."""
     from decimal import Decimal
 
-    def one(b):
-        if b is None:
-            return None
-        w = np.frombuffer(bytes(b) + b"\0" * (-len(b) % 4), "<u4").astype(object)
-        m = _MASK32
-        a = int(w.sum()) % m
-        c = int(sum(x * (len(w) - i) for i, x in enumerate(w))) % m
-        low = m - (a + c) % m
-        high = m - (a + low) % m
-        return Decimal(high << 32 | low)
-
-    return data.map(one)
-
-
-def _words32(name: bytes, count: int, signed: bool) -> list[int]:
-    """A name as 32-bit words, filled up with its length in every byte."""
-    pad = len(name) & 0xFF
-    pad |= pad << 8
-    pad |= pad << 16
-    out, value = [], pad
-    for i, b in enumerate(name[: count * 4]):
-        b = b - 256 if signed and b > 127 else b
-        value = (b + (value << 8)) & _MASK32
-        if i % 4 == 3:
-            out.append(value)
-            value = pad
-    if len(out) < count:
-        out.append(value)
-    return (out + [pad] * count)[:count]
-
-
-def _rotl(x: int, n: int) -> int:
-    x &= _MASK32
-    return (x << n | x >> (32 - n)) & _MASK32
-
-
-def tea_hash_bytes(name: bytes) -> int:
-    """Sixteen rounds of the tiny encryption algorithm over blocks of 16 bytes."""
-    if name in (b".", b".."):
-        return 0
-    a, b = 0x67452301, 0xEFCDAB89
-    at = 0
-    while True:
-        k = _words32(name[at:], 4, False)
-        x, y, s = a, b, 0
-        for _ in range(16):
-            s = (s + 0x9E3779B9) & _MASK32
-            x = (x + ((((y << 4) + k[0]) ^ (y + s) ^ ((y >> 5) + k[1])) & _MASK32)) & _MASK32
-            y = (y + ((((x << 4) + k[2]) ^ (x + s) ^ ((x >> 5) + k[3])) & _MASK32)) & _MASK32
-        a, b = (a + x) & _MASK32, (b + y) & _MASK32
-        at += 16
-        if at >= len(name):
-            return a
+    raw, offsets, there = _strings(data)
+    out = pd.Series([None] * len(data), dtype=object)
+    out[there] = [Decimal(x) for x in fletcher64_rows(raw, offsets)]
+    return out
+
+
+def _blocks(raw: np.ndarray, offsets: np.ndarray, words: int, signed: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(32-bit words by string, block and place; blocks of each string).
+
+    A word is four bytes, the first the highest, added (as signed numbers, if so) with carries; a
+    block that a string does not fill is filled up with words of the string's remaining length in
+    every byte, and a word cut short has that length before its bytes.
+    """
+    size = np.diff(offsets)
+    width = 4 * words
+    count = np.maximum(-(-size // width), 1)
+    most = int(count.max(initial=1))
+    byte = np.zeros((len(size), most * width), np.int64)
+    place = np.arange(len(raw)) - np.repeat(offsets[:-1], size)
+    byte[np.repeat(np.arange(len(size)), size), place] = raw.astype(np.int8) if signed else raw
+    byte = byte.reshape(len(size), most, words, 4)
+    left = np.maximum(size[:, None] - np.arange(most) * width, 0)  # from each block's start
+    pad = (left & 0xFF) * 0x01010101
+    held = np.clip(left[:, :, None] - np.arange(words) * 4, 0, 4)  # bytes of each word
+    value = np.repeat(pad[:, :, None], words, 2)
+    for k in range(4):
+        value = np.where(held > k, byte[:, :, :, k] + (value << 8) & _MASK32, value)
+    return value.astype(np.uint32), count
+
+
+def _in_groups(rows):
+    """rows over strings of like lengths together, so that a long one does not widen the others' table."""
+
+    @functools.wraps(rows)
+    def run(raw: np.ndarray, offsets: np.ndarray, **options) -> np.ndarray:
+        size = np.diff(offsets)
+        out, group = np.zeros(len(size), np.uint32), np.ceil(np.log2(size + 1))
+        for g in np.unique(group):
+            at = np.flatnonzero(group == g)
+            own = np.concatenate([[0], np.cumsum(size[at])])
+            out[at] = rows(raw[np.arange(own[-1]) + np.repeat(offsets[:-1][at] - own[:-1], size[at])], own, **options)
+        return out
+
+    return run
 
 
-def half_md4_bytes(name: bytes, seed: tuple[int, int, int, int] = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476), signed: bool = True) -> int:
+@_in_groups
+def tea_rows(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sixteen rounds of the tiny encryption algorithm over blocks of 16 bytes; ``.`` and ``..`` give 0."""
+    words, count = _blocks(raw, offsets, 4, False)
+    state = np.tile(np.array([0x67452301, 0xEFCDAB89], np.uint32), (len(count), 1))
+    for at in range(words.shape[1]):
+        k, (x, y), s = words[:, at].T, state.T.copy(), 0
+        for _ in range(16):
+            s = s + 0x9E3779B9 & _MASK32
+            t = np.uint32(s)
+            x = x + ((y << 4) + k[0] ^ y + t ^ (y >> 5) + k[1])
+            y = y + ((x << 4) + k[2] ^ x + t ^ (x >> 5) + k[3])
+        on = count > at
+        state[on] += np.stack([x, y], 1)[on]
+    size = np.diff(offsets)
+    first, second = (raw[np.minimum(offsets[:-1] + k, max(len(raw) - 1, 0))] if len(raw) else np.zeros(len(size), np.uint8) for k in (0, 1))
+    dots = (size > 0) & (size <= 2) & (first == 0x2E) & ((size == 1) | (second == 0x2E))
+    return np.where(dots, 0, state[:, 0])
+
+
+@_in_groups
+def half_md4_rows(raw: np.ndarray, offsets: np.ndarray, seed: tuple[int, int, int, int] = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476), signed: bool = True) -> np.ndarray:
     """Three rounds of MD4's functions, eight steps each, over blocks of 32 bytes; the low bit is cleared."""
     rounds = (
         (lambda x, y, z: z ^ (x & (y ^ z)), 0, (3, 7, 11, 19), (0, 1, 2, 3, 4, 5, 6, 7)),
         (lambda x, y, z: (x & y) + ((x ^ y) & z), 0x5A827999, (3, 5, 9, 13), (1, 3, 5, 7, 0, 2, 4, 6)),
         (lambda x, y, z: x ^ y ^ z, 0x6ED9EBA1, (3, 9, 11, 15), (3, 7, 2, 6, 1, 5, 0, 4)),
     )
-    state = list(seed)
-    for at in range(0, max(len(name), 1), 32):
-        w = _words32(name[at:], 8, signed)
-        v = list(state)
+    words, count = _blocks(raw, offsets, 8, signed)
+    state = np.tile(np.array(seed, np.uint32), (len(count), 1))
+    for at in range(words.shape[1]):
+        w, v = words[:, at].T, list(state.T.copy())
         for f, add, shifts, order in rounds:
             for i, k in enumerate(order):
                 p, q, r, s = ((4 - i) % 4, (5 - i) % 4, (6 - i) % 4, (7 - i) % 4)
-                v[p] = _rotl(v[p] + f(v[q], v[r], v[s]) + w[k] + add, shifts[i % 4])
-        state = [(x + y) & _MASK32 for x, y in zip(state, v, strict=True)]
-    return state[1] & ~1
+                x, n = v[p] + f(v[q], v[r], v[s]) + w[k] + np.uint32(add), shifts[i % 4]
+                v[p] = x << n | x >> 32 - n
+        on = count > at
+        state[on] += np.stack(v, 1)[on]
+    return state[:, 1] & np.uint32(_MASK32 - 1)
+
+
+def _folded(name: str) -> bytes:
+    """A name's case-folded canonical decomposition in UTF-32."""
+    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", name).casefold()).encode("utf-32-le")
 
 
-def drec_hash_bytes(name: str) -> int:
-    """The low 22 bits of CRC-32C over the case-folded canonical decomposition in UTF-32."""
-    folded = unicodedata.normalize("NFD", unicodedata.normalize("NFD", name).casefold())
-    return crc32c_bytes(folded.encode("utf-32-le")) & 0x3FFFFF
+def drec_rows(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The low 22 bits of the register of CRC-32C over each folded name, started with all ones and not inverted."""
+    return (crc32c_rows(raw, offsets) ^ np.uint32(_MASK32)) & np.uint32(0x3FFFFF)
 
 
-def _name_hash(f):
+def _name_hash(rows, as_bytes=str.encode):
     @pandas_udf(LongType())
     def run(name: pd.Series) -> pd.Series:
-        return name.map(lambda s: None if s is None else f(s)).astype("Int64")
+        raw, offsets, there = _strings(name.map(as_bytes, na_action="ignore"))
+        return _column(rows(raw, offsets), there)
 
     return run
 
 
-tea_hash = _name_hash(lambda s: tea_hash_bytes(s.encode()))
-half_md4_hash = _name_hash(lambda s: half_md4_bytes(s.encode()))
-drec_hash = _name_hash(drec_hash_bytes)
+tea_hash = _name_hash(tea_rows)
+half_md4_hash = _name_hash(half_md4_rows)
+drec_hash = _name_hash(drec_rows, _folded)
