@@ -410,3 +410,80 @@ def test_zip_records(spark, tmp_path):
     device = spark.createDataFrame([("/n", "Char")], "path string, kind string")
     with pytest.raises(Exception, match="holds no Char"):
         sinks.write(device, f"{tmp_path}/dev", "zip", 1)
+
+
+def test_folder_trees_and_layers(spark, tmp_path):
+    """A folder with links, a device-like node and odd names; folders as layers among archives."""
+    from treeframe.sources import files
+
+    base = tmp_path / "base"
+    (base / "d/sub").mkdir(parents=True)
+    (base / "d/f").write_bytes(b"body")
+    os.chmod(base / "d/f", 0o640)
+    os.utime(base / "d/f", (77, 77))
+    os.link(base / "d/f", base / "d/sub/again")
+    (base / "empty").write_bytes(b"")
+    os.link(base / "empty", base / "empty2")
+    os.symlink("../no/where", base / "d/l")
+    os.mkfifo(base / "pipe")
+    found = files.tree(spark, str(base))
+    assert rows(found.select("path", "kind", "size", "link_target")) == sorted([("/d", "Dir", 0, None), ("/d/f", "Regular", 4, None), ("/d/l", "Symlink", 0, "../no/where"), ("/d/sub", "Dir", 0, None), ("/d/sub/again", "Regular", 4, None), ("/empty", "Regular", 0, None), ("/empty2", "Regular", 0, None), ("/pipe", "Fifo", 0, None)], key=repr)
+    assert rows(found.where("path = '/d/f'").select("mode", "mtime", "nlink", "body.tag")) == [(0o640, 77, 2, "host")]
+    # Empty files are never links; the further names of others are.
+    assert rows(files.layer(found).where("kind = 'HardLink'").select("path", "link_target")) == [("/d/sub/again", "/d/f")]
+    assert rows(files.bodies(found).select("path", "data")) == [("/d/f", b"body"), ("/d/sub/again", b"body"), ("/empty", b""), ("/empty2", b"")]
+    (tmp_path / "none").mkdir()
+    assert rows(files.tree(spark, str(tmp_path / "none"))) == []
+    with pytest.raises(Exception, match="deeper"):
+        files.tree(spark, str(base), deepest=2)
+    top = tmp_path / "top"
+    (top / "x/.wh.gone").mkdir(parents=True)
+    (top / "x/.wh.gone/inner").write_bytes(b"no")
+    (top / "x/.wh..wh..opq").write_bytes(b"")
+    (top / "x/new").write_bytes(b"n")
+    (top / "d").mkdir()
+    (top / "d/.wh.l").write_bytes(b"")
+    (tmp_path / "mid.tar").write_bytes(tar_of([("x/old", b"o"), ("x/gone/a", b"g"), ("d/f", b"second")]))
+    api.repack(spark, [str(base), f"{tmp_path}/mid.tar", str(top)], f"{tmp_path}/out", source_kind=["dir", "tar", "dir"], shards=1)
+    with tarfile.open(f"{tmp_path}/out/{os.listdir(tmp_path / 'out')[0]}") as t:
+        got = {m.name: (m.linkname or None) if not m.isreg() else t.extractfile(m).read() for m in t}
+    assert got == {"d": None, "d/sub": None, "x": None, "d/f": b"second", "empty": b"", "empty2": b"", "x/new": b"n", "d/sub/again": "d/f"}
+    with pytest.raises(Exception, match="kind for each"):
+        api.repack(spark, [str(base)], f"{tmp_path}/out2", source_kind=["dir", "tar"])
+    os.mkdir(os.fsencode(tmp_path / "odd") )
+    os.close(os.open(os.fsencode(tmp_path / "odd") + b"/\xff", os.O_CREAT))
+    with pytest.raises(Exception, match="not UTF-8"):
+        files.tree(spark, str(tmp_path / "odd")).collect()
+
+
+def test_guards_and_changes(spark, tmp_path):
+    from treeframe.operators import listing
+
+    for kind, codec, what in (("tar", None, "from its start"), ("iso9660", None, "not changed"), ("unheard-of", None, "not changed"), ("ext", "gzip", "gzip")):
+        with pytest.raises(Exception, match=what):
+            listing.require_mutable(kind, "add", codec)
+    e = spark.createDataFrame([("/a", "Dir", 0, 1), ("/a/f", "Regular", 3, 2)], "path string, kind string, size long, inode long").withColumn("nlink", F.lit(1).cast("long"))
+    one = api.mkdir(spark, e, "/a/n", "ext")
+    assert rows(one.select("path", "kind")) == [("/a", "Dir"), ("/a/f", "Regular"), ("/a/n", "Dir")]
+    for bad in (lambda: api.mkdir(spark, e, "/b/n", "ext"), lambda: api.mkdir(spark, e, "/a", "ext"), lambda: api.mkdir(spark, e, "/a/f/n", "ext"), lambda: mutate.clone(e, "/a/f", "/a"), lambda: mutate.clone(e, "/a", "/z"), lambda: api.rm(e, "/a", "ext"), lambda: api.rm(e, "/a/f", "tar"), lambda: mutate.clone_range("xfs")):
+        with pytest.raises(Exception, match="no such folder|exists|not a file|not empty|from its start|does not share"):
+            bad().collect()
+    assert rows(api.rm(e, "/a/f", "ext").select("path")) == [("/a",)]
+    (tmp_path / "t/s").mkdir(parents=True)
+    (tmp_path / "t/s/f").write_bytes(b"12")
+    assert rows(api.add_tree(spark, e, str(tmp_path / "t"), "/a/t", "ext").select("path", "size")) == [("/a", 0), ("/a/f", 3), ("/a/t", 0), ("/a/t/s", 0), ("/a/t/s/f", 2)]
+    lists = "path string, xattrs array<struct<name:string,value:binary>>"
+    x = spark.createDataFrame([("/a", [("u", b"1"), ("v", b"2")]), ("/b", [("w", b"3")]), ("/c", None)], lists)
+    new = spark.createDataFrame([("/a", [("z", b"9")]), ("/b", [])], lists)
+    assert [(r.path, r.xattrs and [y.name for y in r.xattrs]) for r in mutate.replace_attributes(x, new).orderBy("path").collect()] == [("/a", ["z"]), ("/b", []), ("/c", None)]
+    ask = spark.createDataFrame([(0,), (1,), (2,)], "page long")
+    first = spark.createDataFrame([(0, 512)], "index long, value long")
+    second = spark.createDataFrame([(512, 0, 4096), (512, 1, 0)], "table long, index long, value long")
+    mapped = lookups.page_map(ask, first, second, 64)
+    store = spark.createDataFrame([(4096, b"abcd")], "offset long, data binary")
+    assert rows(lookups.page_bytes(mapped, store, 4).select("page", "data")) == [(0, b"abcd"), (1, bytes(4)), (2, bytes(4))]
+    for table, what in ((second.withColumn("value", F.lit(1 << 62 | 5)), "compressed"), (second.withColumn("value", F.lit(8).cast("long")), "no bytes")):
+        with pytest.raises(Exception, match=what):
+            lookups.page_bytes(lookups.page_map(ask, first, table, 64), store, 4).collect()
+    how = listing.mutability(spark.createDataFrame([("xfs",), ("ext",)], "kind string"))
+    assert rows(how.select("kind", "clone", "shares_extents", "supports_range")) == [("ext", "None", False, False), ("xfs", "WholeFile", True, False)]

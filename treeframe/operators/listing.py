@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..entries import with_defaults
+from ..entries import Immutable, InvalidArgument, Streaming, with_defaults
 from ..functions import paths
 
 # Names that a walk leaves out, limits of a walk, and what formats can do.
@@ -16,6 +16,7 @@ CAPABILITIES = {
     "ext": "Mutable", "fat32": "Mutable", "exfat": "Mutable", "xfs": "Mutable", "hfs+": "Mutable", "ntfs": "Mutable", "grf": "Mutable",
     "tar": "Streaming", "iso9660": "Immutable", "squashfs": "Immutable", "hfs": "Immutable", "apfs": "Immutable", "f2fs": "Immutable",
 }
+SHARING = ("xfs",)  # whole files
 
 
 def children(entries: DataFrame, path: str) -> DataFrame:
@@ -78,7 +79,22 @@ def checked(entries: DataFrame, most: int = MOST_ENTRIES, deepest: int = MOST_DE
 
 
 def mutability(formats: DataFrame) -> DataFrame:
-    """formats (kind) with what changes each takes, and whether one asked for may go on."""
+    """formats (kind) with what changes each takes, whether one asked for may go on, and whether copies can share a body."""
     table = F.create_map(*[F.lit(x) for kv in CAPABILITIES.items() for x in kv])
     how = F.coalesce(F.try_element_at(table, F.col("kind")), F.lit("Immutable"))
-    return formats.withColumns({"capability": how, "add_remove": how == "Mutable", "partial_writes": how == "Mutable"})
+    shares = F.when(F.col("kind").isin(*SHARING), "WholeFile").otherwise("None")
+    return formats.withColumns({
+        "capability": how, "add_remove": how.isin("Mutable", "WholeFileOnly"), "partial_writes": how == "Mutable",
+        "clone": shares, "shares_extents": shares != "None", "supports_range": shares == "Range",
+    })
+
+
+def require_mutable(kind: str, what: str, codec: str | None = None) -> None:
+    """An error if a container of this kind, or one that is compressed, does not take changes in place."""
+    if codec:
+        raise InvalidArgument(f"{what}: a container under {codec} is not changed in place; repack it")
+    how = CAPABILITIES.get(kind, "Immutable")
+    if how == "Streaming":
+        raise Streaming(f"{what}: {kind} can only be written from its start")
+    if how == "Immutable":
+        raise Immutable(f"{what}: {kind} is not changed once it is written")

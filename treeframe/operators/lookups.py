@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .ordering import kept
 
+PACKED = 1 << 62  # of a page's entry: its bytes are compressed
 # Attribute name spaces by number.
 NAMESPACES = {1: "user.", 2: "system.posix_acl_access", 3: "system.posix_acl_default", 4: "trusted.", 6: "security.", 7: "system."}
 
@@ -35,12 +36,27 @@ def chains(links: DataFrame, heads: DataFrame, rounds: int = 40) -> DataFrame:
     raise ValueError("a chain is longer than its table; it has a cycle")
 
 
-def page_map(requests: DataFrame, first: DataFrame, second: DataFrame, per_page: int, zeros: bytes = b"") -> DataFrame:
-    """Host offset of each requested guest page by a two-level table; 0 or nothing at either level is unallocated (null)."""
+def page_map(requests: DataFrame, first: DataFrame, second: DataFrame, per_page: int) -> DataFrame:
+    """Host offset of each requested guest page by a two-level table; 0 or nothing at either level is unallocated (null).
+
+    A page whose entry has the bit of compressed ones is an error.
+    """
     r = requests.withColumns({"l1": F.call_function("div", F.col("page"), F.lit(per_page)), "l2": F.col("page") % per_page})
     one = first.where("value <> 0").select(F.col("index").alias("l1"), F.col("value").alias("_table"))
     two = second.where("value <> 0").select(F.col("table").alias("_table"), F.col("index").alias("l2"), F.col("value").alias("host"))
-    return r.join(one, "l1", "left").join(two, ["_table", "l2"], "left").select("page", "host")
+    packed = F.raise_error(F.concat(F.lit("a compressed page: "), F.col("page").cast("string"))).cast("long")
+    host = F.when(F.col("host").bitwiseAND(F.lit(PACKED)) != 0, packed).otherwise(F.col("host"))
+    return r.join(one, "l1", "left").join(two, ["_table", "l2"], "left").select("page", host.alias("host"))
+
+
+def page_bytes(pages: DataFrame, store: DataFrame, size: int) -> DataFrame:
+    """Pages of page_map with ``data``: the store's (offset, data) bytes, zeros for what is unallocated."""
+    held = store.select(F.col("offset").alias("host"), F.col("data").alias("_data"))
+    lost = F.raise_error(F.concat(F.lit("no bytes at "), F.col("host").cast("string"))).cast("binary")
+    data = F.when(F.col("host").isNull(), F.lit(bytes(size))).when(F.col("_data").isNull(), lost).otherwise(F.col("_data"))
+    # Unallocated pages take no part in the join, so that they are not one key.
+    there = pages.where("host is not null").join(held, "host", "left")
+    return there.unionByName(pages.where("host is null").withColumn("_data", F.lit(None).cast("binary"))).select("page", "host", data.alias("data"))
 
 
 def overlaid(base: DataFrame, journal: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..entries import Unsupported
 from ..functions import paths
 
 # The device nodes of a minimal root.
@@ -24,6 +25,21 @@ def create(entries: DataFrame, new: DataFrame) -> DataFrame:
     return entries.unionByName(new, allowMissingColumns=True).unionByName(taken, allowMissingColumns=True)
 
 
+def under_folders(entries: DataFrame, new: DataFrame) -> DataFrame:
+    """new, with an error for an entry whose parent is no folder in entries or in new."""
+    up = F.coalesce(paths.parent(F.col("path")), F.lit("/"))
+    folders = entries.where("kind = 'Dir'").select(F.col("path").alias("_up")).unionByName(new.where("kind = 'Dir'").select(F.col("path").alias("_up"))).distinct()
+    # Entries at the top need no join; the root is always there.
+    below = new.withColumn("_up", up).where("_up <> '/'").join(folders.withColumn("_is", F.lit(True)), "_up", "left")
+    path = F.when(F.col("_is"), F.col("path")).otherwise(F.raise_error(F.concat(F.lit("no such folder: "), F.col("_up"))).cast("string"))
+    return new.where(up == "/").unionByName(below.withColumn("path", path).select(*new.columns))
+
+
+def folder(spark, path: str) -> DataFrame:
+    """An empty folder as an entry."""
+    return spark.createDataFrame([(path, "Dir", 0o755, 0, 0, 0, 0)], "path string, kind string, mode int, uid long, gid long, size long, mtime long")
+
+
 def remove(entries: DataFrame, path: str) -> DataFrame:
     """entries without path; an error if it is a directory that is not empty."""
     below = entries.where(F.col("path").startswith(f"{path}/")).limit(1).select(*[F.raise_error(F.lit(f"not empty: {path}")).cast(f.dataType).alias(f.name) for f in entries.schema.fields])
@@ -62,10 +78,16 @@ def hard_link(entries: DataFrame, path: str, new: str) -> DataFrame:
 
 
 def clone(entries: DataFrame, path: str, new: str) -> DataFrame:
-    """A copy of path with an inode of its own that shares the body."""
+    """A copy of path with an inode of its own that shares the body; an error if new is taken or path is no file."""
     top = entries.agg((F.coalesce(F.max("inode"), F.lit(0)) + 1).alias("_next"))
     copy = entries.where(_at(path)).join(top).withColumns({"path": F.lit(new), "inode": F.col("_next"), "nlink": F.lit(1).cast("long")})
-    return entries.unionByName(copy.select(*entries.columns))
+    copy = copy.withColumn("path", F.when(F.col("kind") == "Regular", F.col("path")).otherwise(F.raise_error(F.lit(f"not a file: {path}")).cast("string")))
+    return create(entries, copy.select(*entries.columns))
+
+
+def clone_range(kind: str) -> None:
+    """Always an error: no kind of container here shares a part of a file's body (see listing.mutability)."""
+    raise Unsupported(f"{kind} does not share a part of a file")
 
 
 def set_attribute(xattrs: Column, name: str, value: bytes) -> Column:
@@ -75,6 +97,13 @@ def set_attribute(xattrs: Column, name: str, value: bytes) -> Column:
     return F.when(has, F.transform(xattrs, lambda x: F.when(x["name"] == name, item).otherwise(x))).otherwise(F.concat(xattrs, F.array(item)))
 
 
+def replace_attributes(entries: DataFrame, new: DataFrame) -> DataFrame:
+    """entries with the whole attribute lists of new (path, xattrs) in place of their own; others keep theirs."""
+    lists = new.select("path", F.col("xattrs").alias("_new"), F.lit(True).alias("_set"))
+    out = entries.join(lists, "path", "left").withColumn("xattrs", F.when(F.col("_set"), F.col("_new")).otherwise(F.col("xattrs")))
+    return out.select(*entries.columns)
+
+
 def remove_attribute(xattrs: Column, name: str) -> Column:
     return F.filter(xattrs, lambda x: x["name"] != name)
 

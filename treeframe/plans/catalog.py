@@ -11,7 +11,7 @@ from ..functions import bits, display, encodings, hashes, paths
 from ..operators import analyze, layout, links, listing, lookups, merge, mutate, ordering
 from .. import api
 from ..sinks import archives as sinks
-from ..sources import archives, detect
+from ..sources import archives, detect, files
 from ..streaming import layers
 from . import views as V
 
@@ -579,6 +579,19 @@ def repack_round_trip(spark, sf):
     return files.unionByName(found.where("kind = 'Dir'").select("path", "kind", F.lit(None).cast("string").alias("md5")))
 
 
+@query("""WITH d AS (SELECT '/' || source || '/' || lang || '/' || doc_id || '.txt' AS path, source, lang, text FROM documents)
+SELECT path, 'Regular' AS kind, CAST(strlen(text) AS BIGINT) AS size, md5(text) AS md5 FROM d
+UNION ALL SELECT DISTINCT '/' || source, 'Dir', 0, NULL FROM d UNION ALL SELECT DISTINCT '/' || source || '/' || lang, 'Dir', 0, NULL FROM d""")
+def scan_folder(spark, sf):
+    """All documents as files of a folder, walked level by level and read."""
+    d, folder = V.table(spark, sf, "documents"), ordering.new_folder(spark)
+    path = F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    sinks.spread(d.select(path.alias("path"), F.lit("Regular").alias("kind"), F.col("text").cast("binary").alias("data")), folder)
+    found = files.tree(spark, folder)
+    read = files.bodies(found).select("path", "kind", "size", F.md5("data").alias("md5"))
+    return read.unionByName(found.where("kind = 'Dir'").select("path", "kind", "size", F.lit(None).cast("string").alias("md5")))
+
+
 # ---- scalar functions
 
 @query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'd' WHEN 1 THEN '-' ELSE 'l' END || CASE WHEN m & 256 <> 0 THEN 'r' ELSE '-' END || CASE WHEN m & 128 <> 0 THEN 'w' ELSE '-' END || CASE WHEN m & 2048 <> 0 THEN CASE WHEN m & 64 <> 0 THEN 's' ELSE 'S' END WHEN m & 64 <> 0 THEN 'x' ELSE '-' END || CASE WHEN m & 32 <> 0 THEN 'r' ELSE '-' END || CASE WHEN m & 16 <> 0 THEN 'w' ELSE '-' END || CASE WHEN m & 1024 <> 0 THEN CASE WHEN m & 8 <> 0 THEN 's' ELSE 'S' END WHEN m & 8 <> 0 THEN 'x' ELSE '-' END || CASE WHEN m & 4 <> 0 THEN 'r' ELSE '-' END || CASE WHEN m & 2 <> 0 THEN 'w' ELSE '-' END || CASE WHEN m & 512 <> 0 THEN CASE WHEN m & 1 <> 0 THEN 't' ELSE 'T' END WHEN m & 1 <> 0 THEN 'x' ELSE '-' END AS shown FROM (SELECT event_id, (event_id * 37) % 4096 AS m FROM events)")

@@ -11,6 +11,7 @@ import io
 import os
 import struct
 import time
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -52,6 +53,8 @@ def _tar(rows: Iterator, out: io.RawIOBase) -> int:
         if r.kind not in _TYPES:
             raise InvalidArgument(f"a tar holds no {r.kind}: {r.path}")
         raw, target = (r.path.lstrip("/") + "/" * (r.kind == "Dir")).encode(), (r.link_target or "").encode()
+        if r.kind == "HardLink":
+            target = target.lstrip(b"/")  # a member's name
         body = bytes(r.data or b"") if r.kind == "Regular" else b""
         numbers = {"uid": r.uid or 0, "gid": r.gid or 0, "mtime": max(r.mtime or 0, 0), "size": len(body)}
         more = {b"SCHILY.xattr." + x.name.encode(): bytes(x.value) for x in r.xattrs or ()}
@@ -197,6 +200,28 @@ class ArchiveShards(DataSource):
         return _Writer(self.options["path"].removeprefix("file://").removeprefix("file:"), kind)
 
 
+def spread(entries: DataFrame, path: str) -> None:
+    """Regular files of entries (path, data) as files under a folder that every executor can open; a task run again replaces them."""
+    import pyarrow as pa
+
+    top = path.removeprefix("file://").removeprefix("file:")
+
+    def run(batches):
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if ".." in name.split("/"):
+                    raise InvalidArgument(f"a path that leaves its folder: {name}")
+                at = f"{top}/{name.lstrip('/')}"
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                part = f"{at}.{uuid.uuid4().hex}"
+                with open(part, "wb") as out:
+                    out.write(data or b"")
+                os.replace(part, at)
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], ["n"])
+
+    entries.where("kind = 'Regular'").select("path", "data").mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+
+
 def write(entries: DataFrame, path: str, kind: str = "tar", shards: int | None = None) -> None:
     """entries (with ``data``) as shards under path.
 
