@@ -487,3 +487,12 @@ def test_guards_and_changes(spark, tmp_path):
             lookups.page_bytes(lookups.page_map(ask, first, table, 64), store, 4).collect()
     how = listing.mutability(spark.createDataFrame([("xfs",), ("ext",)], "kind string"))
     assert rows(how.select("kind", "clone", "shares_extents", "supports_range")) == [("ext", "None", False, False), ("xfs", "WholeFile", True, False)]
+
+
+def test_sizes_and_integers(spark):
+    sizes = {"10": 10, "4 KiB": 4096, "2MB": 2000000, "7k": 7168, "1TiB": 1 << 40, "9x": None, "": None, "99999999999GiB": None}
+    d = spark.createDataFrame([(x,) for x in sizes], "t string")
+    assert {r[0]: r[1] for r in d.select("t", display.parse_size(F.col("t"))).collect()} == sizes
+    numbers = {"12": 12, "0xff": 255, "0b101": 5, "z": None, "": None}
+    d = spark.createDataFrame([(x,) for x in numbers], "t string")
+    assert {r[0]: r[1] for r in d.select("t", display.parse_integer(F.col("t"))).collect()} == numbers

@@ -171,9 +171,11 @@ def subtree_pages(spark, sf):
     return listing.subtree(p, f"/{host}").select("page_id", "path")
 
 
-@query("SELECT * FROM (VALUES ('ext', 'Mutable', true), ('tar', 'Streaming', false), ('squashfs', 'Immutable', false), ('none', 'Immutable', false)) t(kind, capability, add_remove)")
+@query("SELECT event_id, kind, CASE kind WHEN 'ext' THEN 'Mutable' WHEN 'xfs' THEN 'Mutable' WHEN 'tar' THEN 'Streaming' ELSE 'Immutable' END AS capability, kind IN ('ext', 'xfs') AS add_remove, kind = 'xfs' AS shares_extents, false AS supports_range FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'ext' WHEN 1 THEN 'tar' WHEN 2 THEN 'squashfs' WHEN 3 THEN 'xfs' ELSE 'none' END AS kind FROM events)")
 def mutability(spark, sf):
-    return listing.mutability(spark.createDataFrame([("ext",), ("tar",), ("squashfs",), ("none",)], "kind string")).select("kind", "capability", "add_remove")
+    kinds = F.array(*[F.lit(k) for k in ("ext", "tar", "squashfs", "xfs", "none")])
+    e = V.table(spark, sf, "events").select("event_id", F.element_at(kinds, (F.col("event_id") % 5 + 1).cast("int")).alias("kind"))
+    return listing.mutability(e).select("event_id", "kind", "capability", "add_remove", "shares_extents", "supports_range")
 
 
 @query("WITH " + V.DOCUMENT_ENTRIES + " SELECT count(*) AS entries, 3 AS deepest, true AS safe FROM files")
@@ -607,14 +609,20 @@ def human_size(spark, sf):
     return V.table(spark, sf, "orders").select("o_orderkey", display.human_size(n).alias("shown"))
 
 
-@query("SELECT * FROM (VALUES ('10', 10), ('4 KiB', 4096), ('2MB', 2000000), ('7k', 7168), ('1TiB', 1099511627776), ('9x', NULL), ('', NULL), ('99999999999GiB', NULL)) t(text, bytes)")
+@query("SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN o_orderkey WHEN 1 THEN o_orderkey * 1024 WHEN 2 THEN o_orderkey * 1000000 WHEN 3 THEN o_orderkey * 1024 WHEN 4 THEN o_orderkey * 1099511627776 WHEN 6 THEN o_orderkey * 1073741824 END AS bytes FROM orders")
 def parse_size(spark, sf):
-    return spark.createDataFrame([(x,) for x in ("10", "4 KiB", "2MB", "7k", "1TiB", "9x", "", "99999999999GiB")], "text string").select("text", display.parse_size(F.col("text")).alias("bytes"))
+    """Every order's number under each unit, one that is none, and one that makes it too large."""
+    units = F.array(*[F.lit(u) for u in ("", " KiB", "MB", "k", "TiB", "x", " gib ", "0000000000000GiB")])
+    text = F.concat(F.col("o_orderkey").cast("string"), F.element_at(units, (F.col("o_orderkey") % 8 + 1).cast("int")))
+    return V.table(spark, sf, "orders").select("o_orderkey", display.parse_size(text).alias("bytes"))
 
 
-@query("SELECT * FROM (VALUES ('12', 12), ('0xff', 255), ('0b101', 5), ('z', NULL)) t(text, n)")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN o_orderkey END AS n FROM orders")
 def parse_integer(spark, sf):
-    return spark.createDataFrame([(x,) for x in ("12", "0xff", "0b101", "z")], "text string").select("text", display.parse_integer(F.col("text")).cast("int").alias("n"))
+    """Every order's number as decimal, hexadecimal and binary text, and as none."""
+    k = F.col("o_orderkey")
+    text = F.when(k % 4 == 0, k.cast("string")).when(k % 4 == 1, F.concat(F.lit("0x"), F.hex(k))).when(k % 4 == 2, F.concat(F.lit("0b"), F.bin(k))).otherwise(F.concat(F.lit("z"), k.cast("string")))
+    return V.table(spark, sf, "orders").select("o_orderkey", display.parse_integer(text).alias("n"))
 
 
 @query("SELECT event_id, strftime(make_timestamp(event_id * 86399 * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events")
